@@ -9,6 +9,7 @@ bytes and a block, and emits tokens once they are further than that from the end
 from __future__ import annotations
 
 import codecs
+import functools
 import hashlib
 import json
 import re
@@ -37,7 +38,9 @@ _CUT = re.compile(f"(?<=[^{_WS}])[{_WS}]")
 _DOUBLE = re.compile(f"[{_WS}][{_WS}]")
 _CONTROL_SPACE = re.compile(r"[\x1c-\x1f]")
 #: The split of byte-level vocabularies whose file asks for the default one.
-_DEFAULT_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_DEFAULT_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[\p{L}]+| ?[\p{N}]+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: From here on versions of Unicode differ in what is a letter or a number.
+_WIDE = re.compile("[\u0530-\U0010ffff]")
 
 
 def byte_chars() -> list[str]:
@@ -47,6 +50,37 @@ def byte_chars() -> list[str]:
     return [chr(b if b in shown else next(hidden)) for b in range(256)]
 
 
+@functools.cache
+def library_class(name: str) -> str:
+    """The tokenizers library's own members of \\p{name}, as ranges for a set in brackets.
+
+    Its Unicode version is not that of the regex module, so the classes are read off it.
+    """
+    import regex
+    from tokenizers import Regex
+    from tokenizers.pre_tokenizers import Split
+
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    maybe = sorted({*regex.findall(rf"\p{{{name}}}", every), *(c for c in every if unicodedata.category(c)[0] == name)})
+    found = sorted(ord(c) for c, _ in Split(Regex(rf"\p{{{name}}}"), "removed", invert=True).pre_tokenize_str("".join(maybe)))
+    ends = [i for i, (a, b) in enumerate(zip(found, found[1:], strict=False)) if b != a + 1] + [len(found) - 1]
+    starts = [0] + [i + 1 for i in ends[:-1]]
+    return "".join(f"\\U{found[a]:08x}-\\U{found[b]:08x}" for a, b in zip(starts, ends, strict=True))
+
+
+class Splitter:
+    """Finds the words of a text by the vocabulary's pattern."""
+
+    def __init__(self, pattern: str, letters: str, numbers: str) -> None:
+        import regex
+
+        self.plain = regex.compile(pattern).findall
+        self.wide = regex.compile(pattern.replace(r"\p{L}", letters).replace(r"\p{N}", numbers)).findall
+
+    def __call__(self, text: str) -> list[str]:
+        return (self.wide if not text.isascii() and _WIDE.search(text) else self.plain)(text)
+
+
 class Memo(dict):
     """Remembers what ``make`` returns, up to a number of short keys; then it starts anew."""
 
@@ -66,7 +100,8 @@ class Memo(dict):
 class Vocabulary:
     """Tokens and merges of a vocabulary file (JSON), with what its text splitting asks for."""
 
-    def __init__(self, source: str) -> None:
+    def __init__(self, source: str, letters: str | None = None, numbers: str | None = None) -> None:
+        """``letters`` and ``numbers`` are ``library_class`` of L and N, where they are known already."""
         file = json.loads(source)
         model = file["model"]
         self.ids: dict[str, int] = dict(model["vocab"])
@@ -93,9 +128,22 @@ class Vocabulary:
         splits = file["pre_tokenizer"].get("pretokenizers", [file["pre_tokenizer"]])
         own = [x["pattern"]["Regex"] for x in splits if x["type"] == "Split"]
         self.split = own[0] if own else _DEFAULT_SPLIT
+        self.find = Splitter(self.split, letters or library_class("L"), numbers or library_class("N"))
         self.joined = file.get("decoder") is None
         self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
 
+    def normal(self, text: str) -> str:
+        """Composed, lower-case text; rarer characters by the library, whose Unicode version is another."""
+        if not text.isascii():
+            if _WIDE.search(text):
+                from tokenizers import normalizers
+
+                steps = [normalizers.NFC()] * self.compose + [normalizers.Lowercase()]
+                return normalizers.Sequence(steps).normalize_str(text)
+            if self.compose:
+                text = unicodedata.normalize("NFC", text)
+        return "".join(map(str.lower, text)) if "Σ" in text else text.lower()  # a final sigma is like any other
+
     def _require_proper(self) -> None:
         """Every merge joins tokens that exist before it and makes one that no other makes; else ranks don't rise."""
         made = {*self.first, *self.last}
@@ -228,12 +276,9 @@ class Encoder:
     """Text to packed little-endian 32-bit ids, equal to the library's without begin and end tokens."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        import regex
-
         self.vocabulary = v = vocabulary
-        self.pattern = regex.compile(v.split)
         self.words = Memo(lambda w: b"".join(i.to_bytes(4, "little") for i in v.word(w.encode())))
-        words, find = self.words.__getitem__, self.pattern.findall
+        words, find = self.words.__getitem__, v.find
         self.chunks = Memo(lambda c: b"".join(map(words, find(c))))
         self.spaced = Memo(lambda c: b"".join(map(words, find(" " + c))))
 
@@ -258,16 +303,14 @@ class Encoder:
     def span(self, text: str) -> bytes:
         v = self.vocabulary
         if v.lower:  # white space is dropped, so chunks between it are independent
-            if v.compose and not text.isascii():
-                text = unicodedata.normalize("NFC", text)
-            text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+            text = v.normal(text)
             if _CONTROL_SPACE.search(text):
-                return b"".join(map(self.words.__getitem__, self.pattern.findall(text)))
+                return b"".join(map(self.words.__getitem__, v.find(text)))
             return b"".join(map(self.chunks.__getitem__, text.split()))
         if _DOUBLE.search(text):
-            return b"".join(map(self.words.__getitem__, self.pattern.findall(text)))
+            return b"".join(map(self.words.__getitem__, v.find(text)))
         head, *rest = text.split(" ")  # every other chunk has a blank before it, and no white space meets it
-        return b"".join(map(self.words.__getitem__, self.pattern.findall(head))) + b"".join(map(self.spaced.__getitem__, rest))
+        return b"".join(map(self.words.__getitem__, v.find(head))) + b"".join(map(self.spaced.__getitem__, rest))
 
 
 class Counter:
@@ -278,13 +321,10 @@ class Counter:
     """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        import regex
-
-        self.encoder_parts = Encoder(vocabulary).parts
-        self.vocabulary = v = vocabulary
-        self.pattern = regex.compile(v.split)
-        self.whole = whole_tokens(v)
-        whole, find = self.whole, self.pattern.findall
+        self.parts = Encoder(vocabulary).parts
+        v = vocabulary
+        self.find = find = v.find
+        self.whole = whole = whole_tokens(v)
         self.merged = Memo(lambda w: len(v.word(w.encode())))
         merged = self.merged
 
@@ -296,16 +336,16 @@ class Counter:
 
     def __call__(self, text: str) -> int:
         n = 0
-        for part, special in self.encoder_parts(text):
+        for part, special in self.parts(text):
             if special is not None:
                 n += 1
             elif part:
                 for span in spans(part):
                     if _DOUBLE.search(span):
-                        n += self.count(self.pattern.findall(span))
+                        n += self.count(self.find(span))
                     else:
                         head, *rest = span.split(" ")
-                        n += self.count(self.pattern.findall(head)) + sum(map(self.spaced.__getitem__, rest))
+                        n += self.count(self.find(head)) + sum(map(self.spaced.__getitem__, rest))
         return n
 
 
@@ -332,7 +372,7 @@ def loaded(kind: type, sent, key: str):
     """One ``kind`` (Encoder, Counter, Decoder, ...) of a broadcast vocabulary in each Python worker."""
     if (kind.__name__, key) not in _loaded:
         if ("vocabulary", key) not in _loaded:
-            _loaded[("vocabulary", key)] = Vocabulary(sent.value)
+            _loaded[("vocabulary", key)] = Vocabulary(*sent.value)
         _loaded[(kind.__name__, key)] = kind(_loaded[("vocabulary", key)])
     return _loaded[(kind.__name__, key)]
 
@@ -341,7 +381,8 @@ def send_vocabulary(df: DataFrame, path: str) -> tuple[object, str]:
     """The vocabulary file as a broadcast (a fixed file of a few MB, read where the driver runs) and its key."""
     with open(path, encoding="utf-8") as f:
         source = f.read()
-    return df.sparkSession.sparkContext.broadcast(source), hashlib.sha256(source.encode()).hexdigest()
+    sent = source, library_class("L"), library_class("N")
+    return df.sparkSession.sparkContext.broadcast(sent), hashlib.sha256(source.encode()).hexdigest()
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "ids") -> DataFrame:
