@@ -57,18 +57,11 @@ def slices(batch: pa.RecordBatch, size: int = SLICE) -> Iterator[pa.RecordBatch]
         yield batch.slice(start, size)
 
 
-def map_texts(
-    df: DataFrame,
-    text: str,
-    keep: Iterable[str],
-    fields: str,
-    make: Callable[[], Callable[[bytes], tuple]],
-    as_bytes: bool = True,
-) -> DataFrame:
-    """Apply a Python function to every text, in Arrow batches, beside the columns ``keep``.
+def map_columns(df: DataFrame, inputs: list[Column], keep: Iterable[str], fields: str, make: Callable[[], Callable[..., tuple]]) -> DataFrame:
+    """Apply a Python function to every row, in Arrow batches, beside the columns ``keep``.
 
-    ``make()`` is called once a task and returns the function, which gets the text as UTF-8 bytes (or as
-    str; null as empty) and returns one value for each of ``fields`` (a DDL string).
+    ``make()`` is called once a task and returns the function, which gets the values of ``inputs`` and
+    returns one value for each of ``fields`` (a DDL string).
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -78,14 +71,13 @@ def map_texts(
     schema = StructType([df.schema[c] for c in keep] + added.fields)
     arrow = to_arrow_schema(schema)
     n_keep = len(keep)
-    body = F.col(text).cast("binary") if as_bytes else F.col(text)
-    empty: bytes | str = b"" if as_bytes else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = make()
         for whole in batches:
             for batch in slices(whole):
-                rows = [call(empty if x is None else x) for x in batch.column(n_keep).to_pylist()]
+                given = [batch.column(i).to_pylist() for i in range(n_keep, batch.num_columns)]
+                rows = [call(*x) for x in zip(*given, strict=True)]
                 columns = list(zip(*rows, strict=True)) or [()] * len(added)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(i).cast(arrow.field(i).type) for i in range(n_keep)]
@@ -93,4 +85,52 @@ def map_texts(
                     schema=arrow,
                 )
 
-    return df.select(*keep, body.alias(fresh(df.select(*keep), "text")[0])).mapInArrow(run, schema)
+    names = fresh(df.select(*keep), *[f"given{i}" for i in range(len(inputs))])
+    return df.select(*keep, *[c.alias(n) for c, n in zip(inputs, names, strict=True)]).mapInArrow(run, schema)
+
+
+def map_texts(
+    df: DataFrame,
+    text: str,
+    keep: Iterable[str],
+    fields: str,
+    make: Callable[[], Callable[[bytes], tuple]],
+    as_bytes: bool = True,
+) -> DataFrame:
+    """``map_columns`` of one column of texts, given as UTF-8 bytes or (``as_bytes`` false) as they are; null as empty."""
+    empty: bytes | str = b"" if as_bytes else ""
+
+    def guarded() -> Callable[..., tuple]:
+        call = make()
+        return lambda x: call(empty if x is None else x)
+
+    return map_columns(df, [F.col(text).cast("binary") if as_bytes else F.col(text)], keep, fields, guarded)
+
+
+#: Order of a row without an id: after all others.
+NO_ID = (1 << 63) - 1
+
+
+def keyed(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str, str]:
+    """``docs`` with a key of two longs that orders its documents: the id (null last) and a hash of the text.
+
+    Rows that repeat both are the same document.
+    """
+    did, hash_ = fresh(docs, "did", "hash")
+    return docs.withColumns({did: F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), hash_: F.xxhash64(F.col(text))}), did, hash_
+
+
+def with_new_text(docs: DataFrame, text: str, removed: DataFrame, doc_id: str, make: Callable[[], Callable[[str, list[int] | None], tuple[str]]], n_removed: str | None = None) -> DataFrame:
+    """``docs`` with parts of the texts removed: ``removed`` has (did, hash, places), one row a document at most.
+
+    The rows of ``docs`` are joined on their key, so a text moves once; ``make()`` gives the function that
+    builds a text without the places. With ``n_removed``, a column of that name has their number.
+    """
+    rows, did, hash_ = keyed(docs, doc_id, text)
+    places, new = fresh(rows, "places", "new")
+    gone = removed.select(F.col("did").alias(did), F.col("hash").alias(hash_), F.col("places").alias(places))
+    joined = rows.join(gone, [did, hash_], "left").withColumn(places, F.coalesce(places, F.array().cast("array<int>")))
+    keep = [c for c in docs.columns if c != text] + ([places] if n_removed else [])
+    built = map_columns(joined, [F.col(text), F.col(places)], keep, f"{new} string", make)
+    columns = [F.col(new).alias(text) if c == text else F.col(c) for c in docs.columns]
+    return built.select(*columns, *([F.size(places).cast("long").alias(n_removed)] if n_removed else []))

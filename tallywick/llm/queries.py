@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from .bpe import round_trip_digests, token_counts
 from .common import read_table
 from .decontaminate import contamination
+from .line_dedup import dedup_lines
 from .quality import quality
 from .sharding import shard_documents
 from .simhash import near_duplicates
+from .span_dedup import dedup_spans
 
 
 def vocabulary_path(name: str) -> str:
@@ -25,6 +27,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), n_removed="n_removed")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -49,11 +55,17 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text"), n_removed="n_removed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_line_dedup": op2_line_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op6_token_counts": op6_token_counts,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_sharding": op8_sharding,
+    "op10_substring_dedup": op10_substring_dedup,
 }
