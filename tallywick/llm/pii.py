@@ -85,10 +85,16 @@ def entities(kind: str, gender: str, text: str) -> list[tuple[str, str]]:
         local, _, domain = text.lower().rpartition("@")
         return [("email_local", local), ("email_domain", domain)]
     if kind in ("card", "ssn", "phone"):
-        return [(kind, "".join(c for c in text if c.isdigit()))]
+        return [(kind, "".join(c for c in text[fixed(kind, text) :] if c.isdigit()))]
     return [(kind, text)]
 
 
+def fixed(kind: str, text: str) -> int:
+    """Length of what a mention keeps: the country code of a phone number."""
+    m = re.match(r"\+\d{1,3}(?=[ .(-])", text) if kind == "phone" else None
+    return m.end() if m else 0
+
+
 class Stream:
     """Numbers drawn from a keyed hash."""
 
@@ -168,6 +174,9 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
         body = "".join(like(c, draw) for c in canon[:-1])
         sums = [d for d in "0123456789" if luhn(body + d) == luhn(canon)]
         return body + sums[draw.below(len(sums))]
+    if kind == "secret" and re.fullmatch("[0-9a-f]+|[0-9A-F]+", canon):
+        digits = "0123456789abcdef" if canon.lower() == canon else "0123456789ABCDEF"
+        return "".join(digits[draw.below(16)] for _ in canon)
     return "".join(like(c, draw) for c in canon)
 
 
@@ -200,8 +209,8 @@ def shaped(kind: str, mention: str, subs: list[str]) -> str:
         made = "@".join(subs)
         return made.upper() if mention.isupper() else made
     if kind in ("card", "ssn", "phone"):
-        digits = iter(subs[0])
-        return "".join(next(digits) if c.isdigit() else c for c in mention)
+        digits, start = iter(subs[0]), fixed(kind, mention)
+        return mention[:start] + "".join(next(digits) if c.isdigit() else c for c in mention[start:])
     return subs[0]
 
 
