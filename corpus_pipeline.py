@@ -1,34 +1,69 @@
-"""The training-data pipeline: quality rules, line dedup, near dedup, decontamination, encoding."""
+"""The training-data pipeline: quality rules, line dedup, near dedup, decontamination, encoding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next
+stage's documents. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tallywick.llm.bpe import round_trip_digests
+from tallywick.llm.common import read_table, staged
+from tallywick.llm.decontaminate import drop_contaminated
+from tallywick.llm.line_dedup import dedup_lines
+from tallywick.llm.quality import keep_good
+from tallywick.llm.queries import vocabulary_path
 from tallywick.llm.simhash import keep_representatives
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail a base rule or a certified cutoff go, the others stay as they are."""
+    return keep_good(docs, read_table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines aligned with an earlier document are deleted, n_chars follows, and documents left without a word go."""
+    left = dedup_lines(docs, n_removed="n_removed_lines")
+    some = F.col("text").rlike(r"[^\x20\x09-\x0D]") | (F.col("n_removed_lines") == 0)
+    return left.filter(some).withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: one document of each group stays."""
+    """One document of each group of near copies stays."""
     return keep_representatives(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("near_dedup", near_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
-#: SQL can express neither the alignment of the line dedup nor the encoding: tests/llm has a brute-force version.
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id and the digests of each text encoded and decoded again."""
+    return round_trip_digests(docs, vocabulary_path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("encoding", encoding),
+]
+
+#: SQL expresses neither the alignment of the line dedup nor the encoding: tests/llm has a brute-force version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is written and read again as the next one's input."""
-    from tallywick.llm.common import read_table, staged
-
+    """All stages over ``documents``, each written to the shared folder but for the last."""
     docs = read_table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = staged(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

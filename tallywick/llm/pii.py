@@ -79,8 +79,8 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
 def entities(kind: str, gender: str, text: str) -> list[tuple[str, str]]:
     """(type, canonical form) of the entities of a mention: parts of a name each, else one."""
     if kind == "name":
-        parts = re.split("[ -]", text)
-        return [(f"name_{'given_' + gender if i + 1 < len(parts) else 'family'}", p) for i, p in enumerate(parts)]
+        parts = re.split("[ -]", text.lower())
+        return [("name_family" if i + 1 == len(parts) else f"name_given_{gender or ending_gender(p)}", p) for i, p in enumerate(parts)]
     if kind == "email":
         local, _, domain = text.lower().rpartition("@")
         return [("email_local", local), ("email_domain", domain)]
@@ -89,6 +89,11 @@ def entities(kind: str, gender: str, text: str) -> list[tuple[str, str]]:
     return [(kind, text)]
 
 
+def ending_gender(name: str) -> str:
+    """The gender that a given name's ending suggests, for titles that show none."""
+    return "f" if name[-1] in "aаяαη" else "m"
+
+
 def fixed(kind: str, text: str) -> int:
     """Length of what a mention keeps: the country code of a phone number."""
     m = re.match(r"\+\d{1,3}(?=[ .(-])", text) if kind == "phone" else None
@@ -138,7 +143,7 @@ SOUNDS = {
 
 
 def name_like(part: str, gender: str, draw: Stream) -> str:
-    """A made-up name in the script of ``part``, ended by gender and capitalised alike; in other scripts letter by letter."""
+    """A made-up name in the script of ``part`` (lower case) with an ending of the gender; in other scripts letter by letter."""
     c = ord(part[0])
     script = "cyrillic" if 0x400 <= c < 0x530 else "greek" if 0x370 <= c < 0x400 else "latin" if c < 0x250 else ""
     if not script:
@@ -148,7 +153,7 @@ def name_like(part: str, gender: str, draw: Stream) -> str:
     size = max(2, min(5, len(part) // 2))
     name = "".join(consonants[draw.below(len(consonants))] + vowels[draw.below(len(vowels))] for _ in range(size - 1))
     name += consonants[draw.below(len(consonants))] + ends[draw.below(len(ends))]
-    return name.upper() if part.isupper() else name.capitalize()
+    return name
 
 
 def luhn(digits: str) -> bool:
@@ -204,7 +209,7 @@ def shaped(kind: str, mention: str, subs: list[str]) -> str:
     """Surrogates in the format of the mention."""
     if kind == "name":
         parts = iter(subs)
-        return re.sub("[^ -]+", lambda m: next(parts), mention)
+        return re.sub("[^ -]+", lambda m: next(parts).upper() if m[0].isupper() else next(parts).capitalize(), mention)
     if kind == "email":
         made = "@".join(subs)
         return made.upper() if mention.isupper() else made
