@@ -1 +1 @@
-
+"""Column expressions: fixed-point numbers and text timestamps."""

@@ -1 +1 @@
-
+"""Operators: features, neighbours, index building, probing, policy and decisions."""

@@ -1 +1 @@
-
+"""Scoring of payload streams."""
