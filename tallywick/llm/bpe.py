@@ -82,16 +82,23 @@ class Splitter:
 
 
 class Memo(dict):
-    """Remembers what ``make`` returns, up to a number of short keys; then it starts anew."""
+    """Remembers what ``make`` returns for short keys, the last ``limit`` new ones at least and twice as many at most.
+
+    When it is full it starts anew, and what is used again is taken over from what it was before.
+    """
 
     def __init__(self, make: Callable, limit: int = MEMO) -> None:
         super().__init__()
         self.make, self.limit = make, limit
+        self.before: dict = {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= LONG:
             if len(self) >= self.limit:
+                self.before = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -172,22 +179,15 @@ class Vocabulary:
     def merge(self, ids: list[int]) -> list[int]:
         """All merges of a run of single bytes: the lowest rank first, from left to right."""
         get, rules = self.rank.get, self.rules
-        while len(ids) > 1:
-            rank = min(map(get, zip(ids, ids[1:], strict=False), repeat(_NO_RULE)))
-            if rank == _NO_RULE:
-                break
-            a, b, new = rules[rank]
-            out, i, end = [], 0, len(ids) - 1
-            while i < end:
-                if ids[i] == a and ids[i + 1] == b:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            if i == end:
-                out.append(ids[i])
-            ids = out
+        ranks = list(map(get, zip(ids, ids[1:], strict=False), repeat(_NO_RULE)))
+        while ranks and (least := min(ranks)) != _NO_RULE:
+            i = ranks.index(least)
+            ids[i : i + 2] = (new := rules[least][2],)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((ids[i - 1], new), _NO_RULE)
+            if i < len(ranks):
+                ranks[i] = get((new, ids[i + 1]), _NO_RULE)
         return ids
 
     def word(self, data: bytes) -> list[int]:
