@@ -26,8 +26,9 @@ from .common import map_texts
 LONG = 64
 #: Bytes that the transducer takes at once, besides the lookahead.
 BLOCK = 256
-#: Words and chunks remembered by each Python worker.
+#: Words, and chunks between blanks, remembered by each Python worker: some 200 bytes each.
 MEMO = 1 << 18
+MEMO_CHUNKS = 1 << 19
 #: Characters of a text worked on at once.
 SPAN = 1 << 16
 
@@ -279,8 +280,8 @@ class Encoder:
         self.vocabulary = v = vocabulary
         self.words = Memo(lambda w: b"".join(i.to_bytes(4, "little") for i in v.word(w.encode())))
         words, find = self.words.__getitem__, v.find
-        self.chunks = Memo(lambda c: b"".join(map(words, find(c))))
-        self.spaced = Memo(lambda c: b"".join(map(words, find(" " + c))))
+        self.chunks = Memo(lambda c: b"".join(map(words, find(c))), MEMO_CHUNKS)
+        self.spaced = Memo(lambda c: b"".join(map(words, find(" " + c))), MEMO_CHUNKS)
 
     def encode(self, text: str) -> Iterator[bytes]:
         for part, special in self.parts(text):
@@ -332,7 +333,7 @@ class Counter:
             return sum(1 if w in whole else merged[w] for w in words)
 
         self.count = count
-        self.spaced = Memo(lambda c: count(find(" " + c)))
+        self.spaced = Memo(lambda c: count(find(" " + c)), MEMO_CHUNKS)
 
     def __call__(self, text: str) -> int:
         n = 0
