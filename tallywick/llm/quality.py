@@ -26,7 +26,7 @@ RUN = 8
 RISK = 0.04
 DELTA = 0.05
 #: Bad documents that one rejected good document must be worth.
-COST = 10
+COST = 50
 #: Strata up to which their cutoffs are broadcast; above, they are joined by shuffle.
 MAX_BROADCAST_STRATA = 10_000
 
