@@ -12,7 +12,7 @@ from tallywick.functions import calendar
 from tallywick.functions.fixedpoint import box_distance, clamp, columns, quantise, quantised, ratio, squared_distance
 from tallywick.operators import policy
 from tallywick.operators.decision import decision, response, vote
-from tallywick.operators.features import category_risk, features, known_merchant
+from tallywick.operators.features import category_risk, known_merchant, with_features
 from tallywick.sources.payload import PAYLOAD
 
 Q = columns("q")
@@ -108,13 +108,13 @@ FRAUD = {
 
 
 def test_features_of_known_payloads(spark):
-    got = [list(r) for r in payloads(spark, LEGIT, FRAUD).select(*features()).collect()]
+    got = [list(r) for r in with_features(payloads(spark, LEGIT, FRAUD), []).collect()]
     assert got[0] == pytest.approx([0.004112, 0.1667, 0.05, 0.7826, 0.3333, -1, -1, 0.02923, 0.15, 0, 1, 0, 0.15, 0.006025], abs=0.001)
     assert got[1] == pytest.approx([0.9506, 0.8333, 1, 0.2174, 0.8333, -1, -1, 0.9523, 1, 0, 1, 1, 0.75, 0.0055], abs=0.001)
 
 
 def test_features_of_absent_parts(spark):
-    empty, present = (list(r) for r in payloads(spark, {}, {"last_transaction": {}, "transaction": {"amount": 5}}).select(*features()).collect())
+    empty, present = (list(r) for r in with_features(payloads(spark, {}, {"last_transaction": {}, "transaction": {"amount": 5}}), []).collect())
     assert empty == [0, 0, 0, 0, 0, -1, -1, 0, 0, 0, 0, 1, 0.5, 0]
     assert present[5:7] == [0, 0] and present[2] == 1  # an amount over an average of 0
     assert not any(math.isnan(x) for x in empty + present)
