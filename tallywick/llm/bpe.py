@@ -34,7 +34,7 @@ SPAN = 1 << 16
 
 _NO_RULE = 1 << 60
 #: White space as Unicode defines it (``str.isspace`` has four control characters more).
-_WS = r"\t-\r \x85\xa0  -     　"
+_WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CUT = re.compile(f"(?<=[^{_WS}])[{_WS}]")
 _DOUBLE = re.compile(f"[{_WS}][{_WS}]")
 _CONTROL_SPACE = re.compile(r"[\x1c-\x1f]")
