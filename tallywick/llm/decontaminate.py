@@ -9,16 +9,17 @@ one pass over a document.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, map_texts, no_null_text
+from .common import fresh, map_columns, map_texts, no_null_text
 
 WINDOW = 10
-#: Bytes of benchmark text that one automaton may hold; a larger benchmark is scanned in blocks of items.
-MAX_BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text in one automaton, some 330 MB in each Python worker; a larger benchmark is scanned in blocks of items.
+MAX_BLOCK_BYTES = 1 << 20
 
 _BLANK = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
@@ -76,7 +77,7 @@ def scanner(items: list[tuple[str, bytes]], key: str, size: int = WINDOW) -> Cal
                     first = min(first, runs.pop()[0])
                 runs.append((first, ends))
                 numbers.update(own)
-        return len(words), runs, [ids[i] for i in numbers]
+        return len(words), runs, sorted({ids[i] for i in numbers})
 
     return scan
 
@@ -100,17 +101,16 @@ def byte_spans(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]
     return spans
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, max_bytes: int) -> list[list[tuple[str, bytes]]]:
-    """The benchmark in blocks of a bounded size, each small enough for the driver and a broadcast."""
+def _blocks(benchmark: DataFrame, item_id: str, text: str, max_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+    """The benchmark in blocks of about ``max_bytes``, one after the other on the driver; one empty block if it has no items."""
     rows = benchmark.select(F.col(item_id).cast("string").alias("id"), no_null_text(text).cast("binary").alias("text")).filter("id is not null")
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // max_bytes))
     part = F.pmod(F.xxhash64("id"), F.lit(n))
-    blocks = []
     for k in range(n):
         block = rows.filter(part == k).collect()
-        blocks.append(sorted((r["id"], bytes(r["text"])) for r in block))
-    return [b for b in blocks if b]
+        if block or n == 1:
+            yield sorted((r["id"], bytes(r["text"])) for r in block)
 
 
 def contamination(
@@ -128,27 +128,63 @@ def contamination(
     A document word is hit if it lies inside any occurrence of a window; an item of fewer words than
     ``window``, but not none, is one window. Null and empty texts have no words and no hits; an item with
     a null id is left out, repeated items count once. An empty benchmark hits nothing. Extra columns of
-    either table are not read. A benchmark above ``max_block_bytes`` is scanned in blocks of items, one
-    automaton each, over all documents, with the hits united.
+    either table are not read. A benchmark above ``max_block_bytes`` is scanned in blocks of items: each has an
+    automaton and a pass over all documents, and the hits of a text, one row a block at most, are united.
     """
-    spark = docs.sparkSession
-    blocks = _blocks(benchmark, item_id, item_text, max_block_bytes) or [[]]
-    sent = [(spark.sparkContext.broadcast(b), hashlib.sha256(repr((b, window)).encode()).hexdigest()) for b in blocks]
+    context = docs.sparkSession.sparkContext
+    sent = [(context.broadcast(b), hashlib.sha256(repr((b, window)).encode()).hexdigest()) for b in _blocks(benchmark, item_id, item_text, max_block_bytes)]
+    fields = "n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"
+    if len(sent) == 1:
+        scan = _scan_of(*sent[0], window)
+
+        def make() -> Callable[[bytes], tuple]:
+            def call(body: bytes) -> tuple:
+                n_words, runs, items = scan(body)
+                return n_words, _length(runs), items, _spans(body, runs)
+
+            return call
+
+        return map_texts(docs, text, keep, fields, make)
+    digest, runs, items = fresh(docs, "digest", "runs", "items")
+    rows = docs.withColumn(digest, F.sha2(no_null_text(text).cast("binary"), 256))
+    hits = [_block_hits(rows, text, digest, *x, window) for x in sent]
+    every = reduce(DataFrame.unionByName, hits).groupBy(digest).agg(F.flatten(F.collect_list("runs")).alias(runs), F.flatten(F.collect_list("items")).alias(items))
+
+    def united() -> Callable[..., tuple]:
+        def call(body: bytes | None, found: list[dict] | None, names: list[str] | None) -> tuple:
+            own = merged([(x["first"], x["past"]) for x in found or []])
+            return len(normal_words(body or b"")), _length(own), sorted(set(names or [])), _spans(body or b"", own)
+
+        return call
+
+    return map_columns(rows.join(every, digest, "left"), [F.col(text).cast("binary"), F.col(runs), F.col(items)], keep, fields, united)
+
+
+def _scan_of(block, key: str, window: int) -> Callable[[bytes], tuple]:
+    return lambda body: scanner(block.value, key, window)(body)
+
+
+def _block_hits(rows: DataFrame, text: str, digest: str, block, key: str, window: int) -> DataFrame:
+    """(digest, runs, items) of the distinct texts that one block hits: a pass of its own, so a worker holds one automaton at a time."""
+    scan = _scan_of(block, key, window)
 
     def make() -> Callable[[bytes], tuple]:
-        def call(text: bytes) -> tuple:
-            n_words, runs, items = 0, [], set()
-            for block, key in sent:
-                n_words, found, names = scanner(block.value, key, window)(text)
-                runs += found
-                items.update(names)
-            if len(sent) > 1:
-                runs = merged(runs)
-            return n_words, sum(b - a for a, b in runs), sorted(items), [{"start": a, "end": b} for a, b in byte_spans(text, runs)]
+        def call(body: bytes) -> tuple:
+            _, runs, items = scan(body)
+            return [{"first": a, "past": b} for a, b in runs], items
 
         return call
 
-    return map_texts(docs, text, keep, "n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>", make)
+    found = map_texts(rows, text, (digest,), "runs array<struct<first: long, past: long>>, items array<string>", make)
+    return found.filter(F.size("items") > 0).dropDuplicates([digest])
+
+
+def _length(runs: list[tuple[int, int]]) -> int:
+    return sum(b - a for a, b in runs)
+
+
+def _spans(body: bytes, runs: list[tuple[int, int]]) -> list[dict]:
+    return [{"start": a, "end": b} for a, b in byte_spans(body, runs)]
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
