@@ -23,6 +23,9 @@ from .common import keyed, map_columns, map_texts, staged
 #: Redrawn entities up to which they are broadcast; beyond, they are joined to the documents that hold them.
 MAX_BROADCAST_REDRAWN = 100_000
 
+#: Draws of one length: an entity that has lost so many gets a surrogate one character or syllable longer.
+DRAWS = 4
+
 #: Titles and the gender that they show. Fixed values.
 TITLES = {
     "Mr": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Don": "m", "Sir": "m", "Господин": "m", "Κύριος": "m",
@@ -142,15 +145,15 @@ SOUNDS = {
 }
 
 
-def name_like(part: str, gender: str, draw: Stream) -> str:
+def name_like(part: str, gender: str, draw: Stream, more: int = 0) -> str:
     """A made-up name in the script of ``part`` (lower case) with an ending of the gender; in other scripts letter by letter."""
     c = ord(part[0])
     script = "cyrillic" if 0x400 <= c < 0x530 else "greek" if 0x370 <= c < 0x400 else "latin" if c < 0x250 else ""
     if not script:
-        return "".join(like(x, draw) for x in part)
+        return "".join(like(x, draw) for x in part + more * part[-1])
     consonants, vowels, endings = SOUNDS[script]
     consonants, vowels, ends = consonants.split(), vowels.split(), endings[gender].split()
-    size = max(2, min(5, len(part) // 2))
+    size = max(2, min(5, len(part) // 2)) + more
     name = "".join(consonants[draw.below(len(consonants))] + vowels[draw.below(len(vowels))] for _ in range(size - 1))
     name += consonants[draw.below(len(consonants))] + ends[draw.below(len(ends))]
     return name
@@ -165,24 +168,31 @@ def luhn(digits: str) -> bool:
 
 
 def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
-    """The surrogate of an entity in canonical form."""
+    """The surrogate of an entity in canonical form.
+
+    It is as long as the entity. Each DRAWS attempts it grows, since short formats have fewer forms than a
+    large corpus has entities; an address then takes any numbers.
+    """
     draw = Stream(key, kind, canon, attempt)
+    more = attempt // DRAWS
     if kind.startswith("name_"):
-        return name_like(canon, kind.rpartition("_")[2] if "given" in kind else "", draw)
+        return name_like(canon, kind.rpartition("_")[2] if "given" in kind else "", draw, more)
     if kind == "email_domain":
         labels = canon.split(".")
+        labels[0] += more * labels[0][0]
         return ".".join(["".join(like(c, draw) for c in x) for x in labels[:-1]] + labels[-1:])
     if kind == "ip":
         low = {1: (0, 10), 2: (10, 90), 3: (100, 156)}
-        return ".".join(str(low[len(x)][0] + draw.below(low[len(x)][1])) for x in canon.split("."))
+        return ".".join(str(draw.below(256) if more else low[len(x)][0] + draw.below(low[len(x)][1])) for x in canon.split("."))
     if kind == "card":
-        body = "".join(like(c, draw) for c in canon[:-1])
+        body = "".join(like(c, draw) for c in more * canon[0] + canon[:-1])
         sums = [d for d in "0123456789" if luhn(body + d) == luhn(canon)]
         return body + sums[draw.below(len(sums))]
     if kind == "secret" and re.fullmatch("[0-9a-f]+|[0-9A-F]+", canon):
         digits = "0123456789abcdef" if canon.lower() == canon else "0123456789ABCDEF"
-        return "".join(digits[draw.below(16)] for _ in canon)
-    return "".join(like(c, draw) for c in canon)
+        return "".join(digits[draw.below(16)] for _ in range(len(canon) + more))
+    last = next((c for c in reversed(canon) if c.isalpha() or c.isdecimal()), "0")
+    return "".join(like(c, draw) for c in canon + more * last)
 
 
 def replaced(text: str, key: bytes, redrawn: dict[tuple[str, str], int], memo: dict[tuple[str, str], str]) -> tuple[str, list[tuple[int, int, str]]]:
@@ -215,7 +225,7 @@ def shaped(kind: str, mention: str, subs: list[str]) -> str:
         return made.upper() if mention.isupper() else made
     if kind in ("card", "ssn", "phone"):
         digits, start = iter(subs[0]), fixed(kind, mention)
-        return mention[:start] + "".join(next(digits) if c.isdigit() else c for c in mention[start:])
+        return mention[:start] + "".join(next(digits) if c.isdigit() else c for c in mention[start:]) + "".join(digits)
     return subs[0]
 
 
@@ -245,8 +255,8 @@ def without_collisions(table: DataFrame, key: bytes, rounds: int = 64) -> DataFr
     """``table`` with the attempts at which no two entities of a kind share a surrogate and none gets an entity of the corpus.
 
     Of the entities that share one the smallest keeps it; names of all genders count as one kind. Each
-    round compares all entities and draws anew for the losers. Kinds whose format has fewer forms than
-    entities cannot be told apart; the error after ``rounds`` says so.
+    round compares all entities and draws anew for the losers, at length in longer forms, so that short
+    formats do not run out. An error says if some still clash after ``rounds``.
     """
     table = staged(table, "pii-entities")
     family = F.when(F.col("kind").startswith("name_given"), "name_given").otherwise(F.col("kind")).alias("family")
@@ -260,7 +270,7 @@ def without_collisions(table: DataFrame, key: bytes, rounds: int = 64) -> DataFr
             return table
         again = table.join(lost, ["kind", "canon"], "left_semi").withColumn("attempt", F.col("attempt") + 1).drop("surrogate")
         table = staged(table.join(lost, ["kind", "canon"], "left_anti").unionByName(_drawn(again, key)), "pii-entities")
-    raise ValueError("surrogates of some format cannot be made distinct: the corpus has about as many entities as the format has forms")
+    raise ValueError("surrogates of some format cannot be made distinct")
 
 
 def pseudonymised(

@@ -380,6 +380,20 @@ def test_pii_is_replaced_alike_everywhere(spark):
     assert by[None]["text"] == f"again {part['email'][0]} {part['ip'][0]}"
 
 
+def test_pii_short_formats_do_not_run_out(spark):
+    letters = [chr(c) for c in range(97, 123)]
+    entities = [("email_local", c) for c in letters] + [("ip", f"{i}.{j}.1.1") for i in range(10) for j in range(10)]
+    rows = collected(pii.without_collisions(pii._drawn(spark.createDataFrame([(*e, 0) for e in entities], "kind string, canon string, attempt int"), b"k"), b"k"))
+    made = {(r["kind"], r["surrogate"]) for r in rows}
+    assert len(made) == len(rows) == len(entities) and not made & set(entities)
+    for kind, canon in (("email_local", "a_"), ("email_domain", "a.io"), ("phone", "123456"), ("ssn", "123456789"), ("card", "4111111111111111"), ("secret", "deadbeef"), ("name_given_f", "ada"), ("name_family", "王")):
+        short, grown = (pii.surrogate(b"k", kind, canon, n) for n in (0, 2 * pii.DRAWS))
+        assert len(grown) > len(short), kind
+        if kind == "card":
+            assert pii.luhn(short) and pii.luhn(grown)
+    assert pii.shaped("phone", "+49 123-456", ["98765432"]) == "+49 987-65432"
+
+
 def test_pii_collisions_are_drawn_again(spark):
     domain = [f"{a}.{b}.1.1" for a in range(1, 10) for b in range(1, 10)]
     table = spark.createDataFrame([("ip", c, 0) for c in domain], "kind string, canon string, attempt int")
