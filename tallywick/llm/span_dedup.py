@@ -1,15 +1,16 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of RUN consecutive sentences is hashed, and the hashes are joined over the whole corpus. All
-sentences inside a run that occurred before - in an earlier document, or earlier in the same one - are
-removed. Runs of few words are left out, since such runs repeat by chance; a sentence of very many words
-is a run of its own.
+From each sentence, the shortest run of at least RUN sentences that has MIN_WORDS words is hashed, and the
+hashes are joined over the whole corpus. All sentences inside a run that occurred before - in an earlier
+document, or earlier in the same one - are removed. Runs of fewer words repeat by chance; a sentence of
+very many words is a run of its own.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,11 +42,16 @@ def span_reader(run: int = RUN, min_words: int = MIN_WORDS, long_words: int = LO
             h = xxh64_intdigest(b" ".join(w for x in words[start : start + n] for w in x), n) - (1 << 63)
             spans.append({"span": h, "at": start, "n": n})
 
+        total = list(accumulate(map(len, words), initial=0))
+        end = 0
         for start in range(len(words)):
             if len(words[start]) >= long_words:
                 add(start, 1)
-            if start + run <= len(words) and sum(map(len, words[start : start + run])) >= min_words:
-                add(start, run)
+            end = max(end, start + run)
+            while end < len(words) and total[end] - total[start] < min_words:
+                end += 1
+            if end <= len(words) and total[end] - total[start] >= min_words:
+                add(start, end - start)
         return (spans,)
 
     return call

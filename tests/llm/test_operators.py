@@ -245,6 +245,13 @@ def test_span_dedup(spark, texts):
         assert r["text"] == expected.get(r["doc_id"])
 
 
+def test_span_dedup_finds_passages_of_short_sentences(spark):
+    passage = " ".join(f"w{i}!!" for i in range(60))
+    rows = [(1, f"Own start of the first. {passage}"), (2, f"Other start of the next. {passage} Its own end here."), (3, "w3!! w4!! w5!! stay.")]
+    got = {r["doc_id"]: r["text"] for r in span_dedup.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "Other start of the next. Its own end here.", 3: rows[2][1]}
+
+
 TRICKY = [
     "It's  a\n\n test of 12 things… don't!!", "ΑΣ ΑΣᲉ İstanbul é ﬁ ½ ²", "<|endoftext|>x <|endoftext|", "\x1c \x85 a", "日本語のテキスト 🙂🙂", "", " ", "\n", "a" * 3000, "=-" * 700,
     "the" * 900 + " " + "ing" * 500, "tab\tand  double", "<|startoftext|>hi<|endoftext|>", "\U0001dfd7b ՘", "x " * 40_000,
