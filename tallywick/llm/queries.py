@@ -16,7 +16,7 @@ from .pii import pseudonymised
 from .quality import quality
 from .sharding import shard_documents
 from .simhash import near_duplicates
-from .span_dedup import dedup_spans
+from .span_dedup import PASSAGE, dedup_spans
 
 #: For the query only; a real run passes a secret of its own.
 PII_KEY = b"tallywick test key"
@@ -74,7 +74,7 @@ def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text"), n_removed="n_removed")
+    return dedup_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text"), n_removed="n_removed", passage=PASSAGE)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

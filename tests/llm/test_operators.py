@@ -252,6 +252,30 @@ def test_span_dedup_finds_passages_of_short_sentences(spark):
     assert got == {1: rows[0][1], 2: "Other start of the next. Its own end here.", 3: rows[2][1]}
 
 
+def test_span_dedup_finds_passages_inside_sentences(spark):
+    rng = random.Random(11)
+    shared = [prose(rng, 51) for _ in range(3)]
+    rows = [
+        (1, f"{prose(rng, 30)} {shared[0]} {prose(rng, 30)} {shared[1].upper()} {prose(rng, 5)}"),
+        (2, f"{prose(rng, 40)} {shared[0]} {prose(rng, 20)}. Half a sentence {shared[2]} ends."),
+        (3, "\n ".join(f"{prose(rng, 33)} {shared[1]} {prose(rng, 33)} {shared[2]} é".split(" "))),
+        (4, f"{prose(rng, 12)} {' '.join(shared[0].split()[:24])} {prose(rng, 12)}"),
+        (5, "ab cd ef " * 40),
+        (6, f"{prose(rng, 40)} {shared[0]} {prose(rng, 20)} {shared[0]} {prose(rng, 9)}"),
+        (None, None),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n"]) for r in span_dedup.dedup_spans(df, n_removed="n", passage=span_dedup.PASSAGE).collect()}
+    assert got[1] == (rows[0][1], 0) and got[4] == (rows[3][1], 0) and got[None] == (None, 0)
+    assert got[5][0].startswith("ab cd ef " * 8) and len(got[5][0].split()) < 80
+    for doc, pieces in ((2, [shared[0]]), (3, [shared[1], shared[2]]), (6, [shared[0]] * 2)):
+        text, n = got[doc]
+        left, was = brute.words(text), brute.words(rows[doc - 1][1])
+        assert n >= len(pieces) and len(was) - 51 * len(pieces) <= len(left) <= len(was) - len(pieces) * (51 - 2 * (span_dedup.WINDOW - 1))
+        own = [x for x in was if not any(x in p.lower().split() for p in pieces)]
+        assert [x for x in left if x in set(own)] == own
+
+
 TRICKY = [
     "It's  a\n\n test of 12 things… don't!!", "ΑΣ ΑΣᲉ İstanbul é ﬁ ½ ²", "<|endoftext|>x <|endoftext|", "\x1c \x85 a", "日本語のテキスト 🙂🙂", "", " ", "\n", "a" * 3000, "=-" * 700,
     "the" * 900 + " " + "ing" * 500, "tab\tand  double", "<|startoftext|>hi<|endoftext|>", "\U0001dfd7b ՘", "x " * 40_000,
