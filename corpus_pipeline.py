@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tallywick.llm.bpe import round_trip_digests
 from tallywick.llm.common import read_table, staged
 from tallywick.llm.decontaminate import drop_contaminated
-from tallywick.llm.line_dedup import dedup_lines
+from tallywick.llm.line_dedup import ROUNDS, dedup_lines
 from tallywick.llm.quality import keep_good
 from tallywick.llm.queries import vocabulary_path
 from tallywick.llm.simhash import keep_representatives
@@ -29,7 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines aligned with an earlier document are deleted, n_chars follows, and documents left without a word go."""
-    left = dedup_lines(docs, n_removed="n_removed_lines")
+    left = dedup_lines(docs, n_removed="n_removed_lines", rounds=ROUNDS)
     some = F.col("text").rlike(r"[^\x20\x09-\x0D]") | (F.col("n_removed_lines") == 0)
     return left.filter(some).withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(docs.columns)
 

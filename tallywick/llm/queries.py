@@ -11,7 +11,7 @@ from .bpe import round_trip_digests, token_counts
 from .chat import conversation_digests, read_back, turns_as_tokens
 from .common import read_table
 from .decontaminate import contamination
-from .line_dedup import dedup_lines
+from .line_dedup import ROUNDS, dedup_lines
 from .pii import pseudonymised
 from .quality import quality
 from .sharding import shard_documents
@@ -33,7 +33,7 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), n_removed="n_removed")
+    return dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), n_removed="n_removed", rounds=ROUNDS)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

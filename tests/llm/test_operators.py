@@ -235,6 +235,14 @@ def test_line_dedup(spark, texts):
         assert r["text"] == (expected[r["doc_id"]] if r["doc_id"] in expected else None if r["doc_id"] == 99 else "")
 
 
+def test_line_dedup_aligns_lines_left_over_with_other_holders(spark):
+    a, b = "first hot line with six words", "other hot line with six words"
+    rows = [(1, f"{a}\n{b}"), (2, f"own of two\n{a}\nmore of two"), (3, f"{b}\nown of three\n{a}"), (4, f"{b}\nown of four\n{a}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df, rounds=line_dedup.ROUNDS).collect()}
+    assert got == {1: rows[0][1], 2: "own of two\nmore of two", 3: f"{b}\nown of three", 4: "own of four"}
+
+
 def test_span_dedup(spark, texts):
     rows = [(i, t) for i, t in enumerate(texts) if t is not None]
     df = spark.createDataFrame([*rows, rows[0], (99, None)], "doc_id long, text string").withColumn("hash", F.lit("mine"))
