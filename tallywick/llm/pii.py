@@ -53,7 +53,7 @@ _NEEDS = {
     "phone": re.compile(r"\+\d|\(\d|\d{3}[ .-]\d{3}"),
     "name": re.compile("|".join(rf"{t}\b\.? " for t in TITLES)),
 }
-_ANY = re.compile(r"[@\d]|\b(?:" + "|".join(TITLES) + r")\b|(?i:token|secret|passw)")
+_ANY = re.compile(r"[@\d]|\b(?:" + "|".join(TITLES) + r")\b|(?i:token|secret|passw|api[_-]?key|access[_-]?key)")
 _COMPILED = {k: re.compile(v) for k, v in PATTERNS.items()}
 
 

@@ -419,6 +419,11 @@ def test_pii_is_replaced_alike_everywhere(spark):
     assert by[None]["text"] == f"again {part['email'][0]} {part['ip'][0]}"
 
 
+@pytest.mark.parametrize("text", ['config api_key = "qwertyuiopasdf"', "access-key: abcdefghijk", "APIKEY=abcdefghijkl"])
+def test_pii_finds_keys_without_other_signs(text):
+    assert [kind for _, _, kind, _ in pii.mentions(text)] == [kind for _, _, kind, _ in pii.mentions(f"{text} 7")] == ["secret"]
+
+
 def test_pii_short_formats_do_not_run_out(spark):
     letters = [chr(c) for c in range(97, 123)]
     entities = [("email_local", c) for c in letters] + [("ip", f"{i}.{j}.1.1") for i in range(10) for j in range(10)]
