@@ -20,6 +20,7 @@ from ..sources import index as index_store
 from ..sources.fixture import events, transactions, vectors
 from ..sources.payload import PAYLOAD, as_json, parsed
 from ..sources.references import stratified
+from .cases import GRAMMAR
 from .score import score_exact
 from .stage import stage_dir, staged
 
@@ -75,6 +76,16 @@ def payload_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def payload_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that try each rule of the grammar: whether they are taken, and some of what is read."""
+    rows = spark.createDataFrame(list(enumerate(GRAMMAR)), "case_id int, body string")
+    return parsed(rows).select(
+        "case_id", "parse_ok", F.col("transaction.installments").alias("installments"), F.round(F.col("transaction.amount") * 100).cast("int").alias("cents"),
+        F.array_join("customer.known_merchants", ",").alias("known"), F.col("merchant.id").alias("merchant"), F.col("merchant.mcc").alias("mcc"),
+        F.col("terminal.is_online").alias("is_online"), F.col("last_transaction").isNotNull().alias("has_last"),
+    )
+
+
 def pairwise_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _reference(spark, sf_dir)
     return all_distances(_queries(rows), rows, DIMENSIONS).select("qid", F.col("orig_id").alias("nid"), "dist")
@@ -176,7 +187,7 @@ def index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        score_transactions, tx_features, quantize_embeddings, mcc_lookup, known_merchants, minutes_between, hour_weekday, payload_roundtrip, pairwise_l2, knn5, knn5_vote,
+        score_transactions, tx_features, quantize_embeddings, mcc_lookup, known_merchants, minutes_between, hour_weekday, payload_roundtrip, payload_grammar, pairwise_l2, knn5, knn5_vote,
         max_variance_dim, split_k4, cluster_stats_k4, top_centroids, ivf_probe_vote, bbox_repair_vote, policy_flags, ivf_faithful_vote, stratified_sample, decision_table,
         index_roundtrip,
     )

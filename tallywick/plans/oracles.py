@@ -100,6 +100,15 @@ third AS (SELECT s.qid, f2, CASE WHEN unsure THEN d.f ELSE c.f END AS f3 FROM se
 SELECT qid, CAST(CASE WHEN f2 < 3 AND ({_WIDE}) THEN CASE WHEN f3 < 3 AND {_LATE} THEN 3 ELSE f3 END WHEN f2 >= 3 AND {_DENY} THEN f3 ELSE f2 END AS INT) AS fraud_count
 FROM third JOIN qs USING (qid)"""
 
+#: What is read from the texts of cases.py that are taken, by their number; all others are refused.
+_GRAMMAR = """SELECT CAST(c AS INT) AS case_id, coalesce(ok, FALSE) AS parse_ok, CAST(installments AS BIGINT) AS installments, CAST(cents AS INT) AS cents, known, merchant, mcc, is_online, coalesce(has_last, FALSE) AS has_last
+FROM range(58) n(c) LEFT JOIN (VALUES
+  (0, TRUE, 3, 150, NULL, NULL, NULL, NULL, FALSE), (1, TRUE, 2, NULL, NULL, NULL, NULL, NULL, FALSE), (2, TRUE, 4, NULL, NULL, NULL, NULL, NULL, FALSE), (3, TRUE, 5, NULL, NULL, NULL, NULL, NULL, FALSE),
+  (11, TRUE, NULL, NULL, NULL, NULL, NULL, NULL, FALSE), (12, TRUE, NULL, NULL, NULL, NULL, NULL, NULL, TRUE), (21, TRUE, 12, NULL, NULL, NULL, NULL, NULL, FALSE), (22, TRUE, -3, NULL, NULL, NULL, NULL, NULL, FALSE),
+  (31, TRUE, 7, 725, NULL, NULL, NULL, NULL, FALSE), (32, TRUE, NULL, -5, NULL, NULL, NULL, NULL, FALSE), (41, TRUE, NULL, NULL, '', NULL, NULL, NULL, FALSE), (42, TRUE, NULL, NULL, 'a,b', NULL, NULL, NULL, FALSE),
+  (46, TRUE, NULL, NULL, NULL, '007, }', '0042', NULL, FALSE), (49, TRUE, NULL, NULL, NULL, NULL, NULL, TRUE, FALSE), (51, TRUE, 6, NULL, NULL, NULL, NULL, NULL, FALSE), (52, TRUE, NULL, NULL, NULL, NULL, NULL, NULL, FALSE)
+) t(n, ok, installments, cents, known, merchant, mcc, is_online, has_last) ON n = c"""
+
 ORACLES: dict[str, str] = {
     "score_transactions": f"{_TX}, {_PAIRS} SELECT qid AS event_id, fraud_count, fraud_count / 5.0::DOUBLE AS fraud_score, fraud_count < 3 AS approved FROM votes",
     "tx_features": f"{_TX} SELECT event_id, {_list('d{i} AS q{i}')} FROM qx",
@@ -111,6 +120,7 @@ ORACLES: dict[str, str] = {
     "payload_roundtrip": f"""{_PLAIN} SELECT event_id, TRUE AS parse_ok, event_id % 12 + 1 AS installments, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS requested_at, event_id % 23 AS tx_count_24h,
       concat_ws(',', u, (u + 1) % 10, (u + 3) % 10) AS known, CAST(plain.k % 10 AS VARCHAR) AS merchant, mcc, online AS is_online, present AS card_present, before IS NOT NULL AS has_last
       FROM tx JOIN (SELECT event_id, k FROM plain) plain USING (event_id)""",
+    "payload_grammar": _GRAMMAR,
     "pairwise_l2": f"{_EMB}, {_PAIRS} SELECT qid, nid, dist FROM pairs",
     "knn5": f"{_EMB}, {_PAIRS} SELECT qid, CAST(rank AS INT) AS rank, nid, dist FROM near",
     "knn5_vote": f"{_EMB}, {_PAIRS} SELECT qid, fraud_count, fraud_count < 3 AS approved FROM votes",
