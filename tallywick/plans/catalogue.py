@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from ..sources import index as index_store
 from ..sources.fixture import events, transactions, vectors
 from ..sources.payload import PAYLOAD, as_json, parsed
 from ..sources.references import stratified
-from .cases import GRAMMAR
+from .cases import BOXED, GRAMMAR
 from .score import score_exact
 from .stage import stage_dir, staged
 
@@ -29,6 +30,7 @@ EVERY = 100
 D, Q = columns("d"), columns("q")
 SMALL = 4
 CLUSTERS = 16
+DEFAULT_CLUSTERS = 256
 
 
 def _reference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +127,8 @@ def cluster_stats_k4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _small_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, index_store.Index]:
     rows = _reference(spark, sf_dir)
-    return _queries(rows), index_store.build(rows, DIMENSIONS, SMALL)
+    built = index_store.build(rows, DIMENSIONS, SMALL)
+    return _queries(rows), replace(built, clusters=staged(built.clusters, "clusters"), apart=True)
 
 
 def top_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,9 +137,9 @@ def top_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ivf_probe_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Votes from the two nearest of four clusters."""
+    """Votes of other rows from the two nearest of four clusters."""
     queries, index = _small_index(spark, sf_dir)
-    return vote(probed(queries, probe_ranks(queries, index), index, 2), queries)
+    return vote(probed(queries, staged(probe_ranks(queries, index), "probe-ranks"), index, 2), queries)
 
 
 def bbox_repair_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,10 +161,22 @@ def ivf_faithful_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole search policy over transactions, in an index of 16 clusters with two probes, then four."""
     rows = _transactions(spark, sf_dir)
     built = index_store.build(rows, DIMENSIONS, CLUSTERS)
-    index = index_store.Index(staged(built.members, "members"), staged(built.clusters, "clusters"), DIMENSIONS, 2, 4, 8)
+    index = replace(built, clusters=staged(built.clusters, "clusters"), probes=2, ambiguous_probes=4, most_probes=8, apart=True)
     return fraud_counts(_queries(rows), index)
 
 
+def ivf_default_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole policy with the default search - 8 probes, then 24, then 128 - in 256 clusters.
+
+    Besides every hundredth transaction there is one query in each box of the policy's predicates.
+    """
+    rows = _transactions(spark, sf_dir)
+    built = index_store.build(rows, DIMENSIONS, DEFAULT_CLUSTERS)
+    asked = spark.createDataFrame([(-1 - i, *q) for i, q in enumerate(BOXED)], "qid long, " + ", ".join(f"{q} int" for q in Q))
+    queries = staged(_queries(rows).unionByName(asked), "queries")
+    return fraud_counts(queries, replace(built, clusters=staged(built.clusters, "clusters"), apart=True))
+
+
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A systematic sample of 200 rows, 55 of 100 from class 1: a sampling operator."""
     return stratified(_reference(spark, sf_dir).select("orig_id", "label"), 200)
@@ -188,7 +203,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         score_transactions, tx_features, quantize_embeddings, mcc_lookup, known_merchants, minutes_between, hour_weekday, payload_roundtrip, payload_grammar, pairwise_l2, knn5, knn5_vote,
-        max_variance_dim, split_k4, cluster_stats_k4, top_centroids, ivf_probe_vote, bbox_repair_vote, policy_flags, ivf_faithful_vote, stratified_sample, decision_table,
+        max_variance_dim, split_k4, cluster_stats_k4, top_centroids, ivf_probe_vote, bbox_repair_vote, policy_flags, ivf_faithful_vote, ivf_default_vote, stratified_sample, decision_table,
         index_roundtrip,
     )
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .cases import BOXED
+
 N = 14
 _DIMS = range(N)
 
@@ -46,7 +48,8 @@ _EMB = f"""WITH qx AS (SELECT vec_id AS event_id, CAST(label < 3 AS INT) AS labe
 _PAIRS = f"""qs AS (SELECT event_id AS qid, {_list('d{i} AS q{i}')} FROM qx WHERE event_id % 100 = 0),
 pairs AS (SELECT qid, event_id AS nid, label, {_DIST} AS dist FROM qs, qx),
 near AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, nid) AS rank FROM pairs QUALIFY rank <= 5),
-votes AS (SELECT qid, CAST(sum(label) AS INT) AS fraud_count FROM near GROUP BY qid)"""
+others AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, nid) AS rank FROM pairs WHERE nid <> qid QUALIFY rank <= 5),
+votes AS (SELECT qid, CAST(sum(label) AS INT) AS fraud_count FROM others GROUP BY qid)"""
 
 
 def _dim(rows: str, group: str) -> str:
@@ -73,33 +76,40 @@ _P03 = """(q5 = -10000 AND q6 = -10000 AND ((q9 = 10000 AND q10 = 0 AND q7 BETWE
 
 
 
-def _k16(rows: str) -> str:
-    """16 clusters, their centres, and the ranks of all clusters for each query."""
-    steps = ",\n".join(_halve(f"level{n + 1}", f"level{n}", 8 >> n) for n in range(4))
+def _clusters(rows: str, levels: int, more: str = "") -> str:
+    """2 ** levels clusters, their centres, and the queries."""
+    steps = ",\n".join(_halve(f"level{n + 1}", f"level{n}", (1 << levels) >> (n + 1)) for n in range(levels))
     return f"""{rows}, level0 AS (SELECT *, 0 AS node FROM qx),
 {steps},
-stats AS (SELECT node AS cluster_id, count(*) AS n_rows, {_list('CAST((sum(d{i}::BIGINT) + count(*) // 2) // count(*) AS INT) AS c{i}')} FROM level4 GROUP BY node),
-qs AS (SELECT event_id AS qid, {_list('d{i} AS q{i}')} FROM qx WHERE event_id % 100 = 0)"""
+stats AS (SELECT node AS cluster_id, count(*) AS n_rows, {_list('CAST((sum(d{i}::BIGINT) + count(*) // 2) // count(*) AS INT) AS c{i}')} FROM level{levels} GROUP BY node),
+qs AS (SELECT event_id AS qid, {_list('d{i} AS q{i}')} FROM qx WHERE event_id % 100 = 0{more})"""
 
 
 _WIDE = f"""{_P03} OR (q9 >= 10000 AND q10 = 0 AND q2 >= 5000 AND q7 BETWEEN 3000 AND 3600 AND (q12 = 3000 OR q12 >= 8500))"""
 _LATE = """q9 = 10000 AND q10 = 0 AND q11 = 0 AND q12 = 3000 AND q2 = 10000 AND q5 BETWEEN 250 AND 350 AND q6 BETWEEN 300 AND 450 AND q7 BETWEEN 3300 AND 3500
  AND q8 = 2000 AND q0 BETWEEN 1400 AND 1550"""
 _DENY = "q5 = -10000 AND q6 = -10000 AND q9 = 0 AND q10 = 10000 AND q7 <= 1000 AND q2 BETWEEN 5000 AND 10000 AND q12 = 2500"
-#: Two probes, then (ambiguous) the exact neighbours, then (by the predicates) eight probes, where a neighbour of a cluster of rank 5 to 8 counts twice.
-_FAITHFUL = f"""{_k16(_TX)},
+
+
+def _policy(levels: int, probes: int, ambiguous: int, most: int, more: str = "") -> str:
+    """``probes``, then (ambiguous) the exact neighbours, then (by the predicates) ``most`` probes, where a neighbour of a cluster of rank ``ambiguous`` + 1 to ``most`` counts twice."""
+    n = 1 << levels
+    return f"""{_clusters(_TX, levels, more)},
 ranks AS (SELECT qid, cluster_id, row_number() OVER (PARTITION BY qid ORDER BY {_sum('(q{i} - c{i})::BIGINT * (q{i} - c{i})::BIGINT')}, cluster_id) AS r FROM qs, stats),
-pairs AS (SELECT qid, r, label, event_id AS nid, {_DIST} AS dist FROM qs JOIN ranks USING (qid) JOIN level4 ON node = cluster_id),
-top AS (SELECT qid, upto, r, label, nid, dist, row_number() OVER (PARTITION BY qid, upto ORDER BY dist, nid) AS n FROM pairs, (VALUES (2), (8), (16)) t(upto) WHERE r <= upto QUALIFY n <= 5),
+pairs AS (SELECT qid, r, label, event_id AS nid, {_DIST} AS dist FROM qs JOIN ranks USING (qid) JOIN level{levels} ON node = cluster_id WHERE event_id <> qid),
+top AS (SELECT qid, upto, r, label, nid, dist, row_number() OVER (PARTITION BY qid, upto ORDER BY dist, nid) AS n FROM pairs, (VALUES ({probes}), ({most}), ({n})) t(upto) WHERE r <= upto QUALIFY n <= 5),
 counts AS (SELECT qid, upto, sum(label) AS f FROM top GROUP BY ALL),
-twice AS (SELECT qid, label, row_number() OVER (PARTITION BY qid ORDER BY dist, nid, copy) AS n FROM top, (VALUES (0), (1)) c(copy) WHERE upto = 16 AND (copy = 0 OR r BETWEEN 5 AND 8) QUALIFY n <= 5),
+twice AS (SELECT qid, label, row_number() OVER (PARTITION BY qid ORDER BY dist, nid, copy) AS n FROM top, (VALUES (0), (1)) c(copy) WHERE upto = {n} AND (copy = 0 OR r BETWEEN {ambiguous + 1} AND {most}) QUALIFY n <= 5),
 doubled AS (SELECT qid, sum(label) AS f FROM twice GROUP BY qid),
-first AS (SELECT qid, f AS f1, f BETWEEN 2 AND 4 OR (f = 1 AND q9 = 0) AS unsure FROM counts JOIN qs USING (qid) WHERE upto = 2),
-second AS (SELECT qid, unsure, CASE WHEN unsure THEN f ELSE f1 END AS f2 FROM first JOIN counts USING (qid) WHERE upto = 16),
-third AS (SELECT s.qid, f2, CASE WHEN unsure THEN d.f ELSE c.f END AS f3 FROM second s JOIN counts c ON s.qid = c.qid AND c.upto = 8 JOIN doubled d ON s.qid = d.qid)
+first AS (SELECT qid, f AS f1, f BETWEEN 2 AND 4 OR (f = 1 AND q9 = 0) AS unsure FROM counts JOIN qs USING (qid) WHERE upto = {probes}),
+second AS (SELECT qid, unsure, CASE WHEN unsure THEN f ELSE f1 END AS f2 FROM first JOIN counts USING (qid) WHERE upto = {n}),
+third AS (SELECT s.qid, f2, CASE WHEN unsure THEN d.f ELSE c.f END AS f3 FROM second s JOIN counts c ON s.qid = c.qid AND c.upto = {most} JOIN doubled d ON s.qid = d.qid)
 SELECT qid, CAST(CASE WHEN f2 < 3 AND ({_WIDE}) THEN CASE WHEN f3 < 3 AND {_LATE} THEN 3 ELSE f3 END WHEN f2 >= 3 AND {_DENY} THEN f3 ELSE f2 END AS INT) AS fraud_count
 FROM third JOIN qs USING (qid)"""
 
+
+_BOXED = " UNION ALL SELECT * FROM (VALUES " + ", ".join(str((-1 - i, *q)) for i, q in enumerate(BOXED)) + ") b"
+
 #: What is read from the texts of cases.py that are taken, by their number; all others are refused.
 _GRAMMAR = """SELECT CAST(c AS INT) AS case_id, coalesce(ok, FALSE) AS parse_ok, CAST(installments AS BIGINT) AS installments, CAST(cents AS INT) AS cents, known, merchant, mcc, is_online, coalesce(has_last, FALSE) AS has_last
 FROM range(58) n(c) LEFT JOIN (VALUES
@@ -129,7 +139,7 @@ ORACLES: dict[str, str] = {
     "cluster_stats_k4": f"{_K4} SELECT * REPLACE (CAST(cluster_id AS INT) AS cluster_id) FROM stats",
     "top_centroids": f"{_K4} SELECT qid, CAST(probe_rank AS INT) AS probe_rank, CAST(cluster_id AS INT) AS cluster_id, dist FROM ranks",
     "ivf_probe_vote": f"""{_K4}, near AS (SELECT qid, label, {_DIST} AS dist, event_id AS nid, row_number() OVER (PARTITION BY qid ORDER BY {_DIST}, event_id) AS r
-      FROM ranks JOIN qs USING (qid) JOIN level2 ON level2.node = ranks.cluster_id WHERE probe_rank <= 2 QUALIFY r <= 5)
+      FROM ranks JOIN qs USING (qid) JOIN level2 ON level2.node = ranks.cluster_id WHERE probe_rank <= 2 AND event_id <> qid QUALIFY r <= 5)
       SELECT qid, CAST(sum(label) AS INT) AS fraud_count FROM near GROUP BY qid""",
     "bbox_repair_vote": f"{_EMB}, {_PAIRS} SELECT qid, fraud_count, fraud_count < 3 AS approved FROM votes",
     "policy_flags": f"""{_TX}, q AS (SELECT event_id, {_list('d{i} AS q{i}')} FROM qx) SELECT event_id,
@@ -143,7 +153,8 @@ ORACLES: dict[str, str] = {
       steps AS (SELECT *, CASE WHEN n1 > b1 THEN n1 // b1 ELSE 1 END AS s1, CASE WHEN n0 > b0 THEN n0 // b0 ELSE 1 END AS s0 FROM both_),
       picked AS (SELECT orig_id, label, i FROM ranked, steps WHERE i % (CASE label WHEN 1 THEN s1 ELSE s0 END) = 0 AND i // (CASE label WHEN 1 THEN s1 ELSE s0 END) < CASE label WHEN 1 THEN b1 ELSE b0 END)
       SELECT orig_id, label, row_number() OVER (ORDER BY i, label DESC) - 1 AS position FROM picked""",
-    "ivf_faithful_vote": _FAITHFUL,
-    "index_roundtrip": f"{_k16(_EMB)} SELECT version, count(*) AS clusters, CAST(sum(n_rows) AS BIGINT) AS n_rows, CAST(sum(c0) AS BIGINT) AS sum_c0 FROM stats, (VALUES ('built'), ('loaded')) t(version) GROUP BY version",
+    "ivf_faithful_vote": _policy(4, 2, 4, 8),
+    "ivf_default_vote": _policy(8, 8, 24, 128, _BOXED),
+    "index_roundtrip": f"{_clusters(_EMB, 4)} SELECT version, count(*) AS clusters, CAST(sum(n_rows) AS BIGINT) AS n_rows, CAST(sum(c0) AS BIGINT) AS sum_c0 FROM stats, (VALUES ('built'), ('loaded')) t(version) GROUP BY version",
     "decision_table": "SELECT CAST(range AS INT) AS fraud_count, range / 5.0::DOUBLE AS fraud_score, range < 3 AS approved FROM range(6)",
 }
