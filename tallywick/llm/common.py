@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used for written tables only where the session names no spark.checkpoint.dir, as in tests.
-DEFAULT_STAGE_DIR = "/tmp/checkpoints"
+from ..plans.stage import stage_path, staged
+
+__all__ = ["stage_path", "staged"]
 
 #: White space as the contracts define it: \x20 and \x09-\x0D. ``bytes.split()`` splits on exactly these.
 SPACE = r"[\x20\x09-\x0D]"
@@ -24,18 +24,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stage_root(spark: SparkSession) -> str:
-    """The shared folder for written intermediate tables: the cluster's spark.checkpoint.dir."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or DEFAULT_STAGE_DIR
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` under the shared folder and read it back: a later failure restarts from these files."""
-    path = f"{stage_root(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The given names, with underscores appended until no column of ``df`` has them (case ignored)."""
     taken = {c.lower() for c in df.columns}
@@ -114,23 +102,30 @@ NO_ID = (1 << 63) - 1
 def keyed(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str, str]:
     """``docs`` with a key of two longs that orders its documents: the id (null last) and a hash of the text.
 
-    Rows that repeat both are the same document.
+    Ids are whole numbers; others are an error. Rows that repeat both are the same document. A row without
+    an id is hashed apart, so that it is not taken for one with the largest id.
     """
+    kind = docs.schema[doc_id].dataType.typeName()
+    if kind not in ("byte", "short", "integer", "long", "void"):
+        raise TypeError(f"ids must be whole numbers, not {kind}")
     did, hash_ = fresh(docs, "did", "hash")
-    return docs.withColumns({did: F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), hash_: F.xxhash64(F.col(text))}), did, hash_
+    none = F.col(doc_id).isNull()
+    return docs.withColumns({did: F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), hash_: F.when(none, F.xxhash64(text, F.lit("no id"))).otherwise(F.xxhash64(text))}), did, hash_
 
 
 def with_new_text(docs: DataFrame, text: str, removed: DataFrame, doc_id: str, make: Callable[[], Callable[[str, list[int] | None], tuple[str]]], n_removed: str | None = None) -> DataFrame:
     """``docs`` with parts of the texts removed: ``removed`` has (did, hash, places), one row a document at most.
 
     The rows of ``docs`` are joined on their key, so a text moves once; ``make()`` gives the function that
-    builds a text without the places. With ``n_removed``, a column of that name has their number.
+    builds a text without the places. With ``n_removed``, a column of that name has their number, in place
+    of one that is there already.
     """
     rows, did, hash_ = keyed(docs, doc_id, text)
     places, new = fresh(rows, "places", "new")
     gone = removed.select(F.col("did").alias(did), F.col("hash").alias(hash_), F.col("places").alias(places))
     joined = rows.join(gone, [did, hash_], "left").withColumn(places, F.coalesce(places, F.array().cast("array<int>")))
-    keep = [c for c in docs.columns if c != text] + ([places] if n_removed else [])
+    others = [c for c in docs.columns if n_removed is None or c.lower() != n_removed.lower()]
+    keep = [c for c in others if c != text] + ([places] if n_removed else [])
     built = map_columns(joined, [F.col(text), F.col(places)], keep, f"{new} string", make)
-    columns = [F.col(new).alias(text) if c == text else F.col(c) for c in docs.columns]
+    columns = [F.col(new).alias(text) if c == text else F.col(c) for c in others]
     return built.select(*columns, *([F.size(places).cast("long").alias(n_removed)] if n_removed else []))

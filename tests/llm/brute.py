@@ -126,30 +126,26 @@ def longest(values):
 
 
 def line_dedup(docs, min_words=5):
-    """docs: (id, text) with distinct ids, in order. Returns the new texts."""
-    lines = {d: [" ".join(words(x)) for x in t.split("\n")] for d, t in docs}
-    first = {}
-    partners = defaultdict(set)
-    for d, _ in docs:
-        for x in lines[d]:
-            if len(x.split()) >= min_words:
-                if first.setdefault(x, d) != d:
-                    partners[d].add(first[x])
+    """docs: (id, text) with distinct ids, in order: each aligned with every earlier one. Returns the new texts."""
+    split = {d: [x for x in t.split("\n")] for d, t in docs}
+    lines = {d: [" ".join(words(x)) for x in v if words(x)] for d, v in split.items()}
     out = []
-    for d, t in docs:
+    for k, (d, _) in enumerate(docs):
         gone = set()
-        for other in partners[d]:
-            aligned = patience(lines[other], lines[d])
+        for other, _ in docs[:k]:
+            if not set(lines[other]) & set(lines[d]):
+                continue
             blocks = []
-            for i, j in aligned:
+            for i, j in patience(lines[other], lines[d]):
                 if blocks and blocks[-1][-1] == (i - 1, j - 1):
                     blocks[-1].append((i, j))
                 else:
                     blocks.append([(i, j)])
             for block in blocks:
                 if sum(len(lines[d][j].split()) for _, j in block) >= min_words:
-                    gone |= {j for _, j in block if lines[d][j]}
-        out.append("\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone))
+                    gone |= {j for _, j in block}
+        places = iter(range(len(lines[d])))
+        out.append("\n".join(x for x in split[d] if not words(x) or next(places) not in gone))
     return out
 
 

@@ -239,10 +239,55 @@ def test_line_dedup_aligns_lines_left_over_with_other_holders(spark):
     a, b = "first hot line with six words", "other hot line with six words"
     rows = [(1, f"{a}\n{b}"), (2, f"own of two\n{a}\nmore of two"), (3, f"{b}\nown of three\n{a}"), (4, f"{b}\nown of four\n{a}")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df, rounds=line_dedup.ROUNDS).collect()}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()}
     assert got == {1: rows[0][1], 2: "own of two\nmore of two", 3: f"{b}\nown of three", 4: "own of four"}
 
 
+def test_line_dedup_loses_no_link(spark):
+    x = "a line that has six words"
+    rows = [(1, f"{x}\nother end"), (2, f"{x}\nshort mark\nend of two"), (3, f"{x}\nshort mark\nend of two"), (4, f"own\n{x}\nshort mark"), (5, f"{x}\n\nshort mark\nown end of it")]
+    rows += [(10 + i, f"start of {i}\nfirst hot line of many words\nthen\nthat\nmiddle {i % 4} of all of them\nand\nso\non\nlast hot line of many words") for i in range(40)]
+    rng = random.Random(12)
+    pool = [" ".join(rng.choice(WORDS) for _ in range(rng.choice([1, 2, 3, 6, 8]))) for _ in range(25)]
+    rows += [(100 + i, "\n".join(rng.choice(pool) if rng.random() < 0.7 else prose(rng, 6) for _ in range(rng.randrange(1, 9)))) for i in range(60)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    expected = dict(zip((d for d, _ in rows), brute.line_dedup(rows), strict=True))
+    assert got[3] == "" and got[4] == "own"
+    assert {d: got[d] for d in got if d < 100} == {d: expected[d] for d in expected if d < 100}
+    lost = [(x, y) for d in got for x, y in [(brute.words(got[d]), brute.words(expected[d]))] if x != y]
+    removed = sum(len(brute.words(t)) - len(brute.words(expected[d])) for d, t in rows)
+    assert sum(len(x) - len(y) for x, y in lost) <= 0.02 * removed
+
+
+def test_aligning_shared_lines_equals_aligning_all():
+    rng = random.Random(13)
+    for _ in range(300):
+        a = [rng.randrange(1, 14) for _ in range(rng.randrange(1, 15))]
+        b = [rng.choice(a) if rng.random() < 0.6 else rng.randrange(1, 14) for _ in range(rng.randrange(1, 15))]
+        size = {h: rng.randrange(1, 5) for h in range(14)}
+        blocks, last = [], None
+        for i, j in brute.patience(a, b):
+            if last != (i - 1, j - 1):
+                blocks.append([])
+            blocks[-1].append(j)
+            last = (i, j)
+        expected = [j for x in blocks if sum(size[b[j]] for j in x) >= 5 for j in x]
+        shared = [(size[h], [i for i, x in enumerate(a) if x == h], [j for j, x in enumerate(b) if x == h], h) for h in set(a) & set(b)]
+        assert line_dedup.deleted_lines(shared, len(a), len(b), 5) == expected
+
+
+def test_shortest_runs_cover_every_block():
+    rng = random.Random(14)
+    for _ in range(200):
+        words = [rng.randrange(1, 8) for _ in range(rng.randrange(1, 9))]
+        for at in range(len(words)):
+            runs = line_dedup.shortest_runs(words, at, 5)
+            assert len(runs) <= 5 and all(a <= at < b and sum(words[a:b]) >= 5 for a, b in runs)
+            for a in range(at + 1):
+                for b in range(at + 1, len(words) + 1):
+                    assert (sum(words[a:b]) >= 5) == any(a <= c and d <= b for c, d in runs)
+
+
 def test_span_dedup(spark, texts):
     rows = [(i, t) for i, t in enumerate(texts) if t is not None]
     df = spark.createDataFrame([*rows, rows[0], (99, None)], "doc_id long, text string").withColumn("hash", F.lit("mine"))
