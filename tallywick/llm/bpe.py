@@ -4,6 +4,9 @@ The merges of a vocabulary file are applied by rank. What comes after a place in
 only a bounded way to its left, because a change spreads to the left by merges of ever later rank; the
 longest such chain, worked out from the merge list, is the lookahead. The transducer holds that many
 bytes and a block, and emits tokens once they are further than that from the end of what it has seen.
+Every word goes through it; short words are remembered. A text is read in pieces of about SPAN characters,
+and a word that runs over their ends is given to one transducer piece by piece, so memory does not grow
+with a text or a word.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import map_texts
 
-#: Words of more bytes than this go through the transducer and are not remembered.
+#: Words of more bytes than this are not remembered.
 LONG = 64
 #: Bytes that the transducer takes at once, besides the lookahead.
 BLOCK = 256
@@ -30,7 +33,9 @@ BLOCK = 256
 MEMO = 1 << 18
 MEMO_CHUNKS = 1 << 19
 #: Characters of a text worked on at once.
-SPAN = 1 << 16
+SPAN = 1 << 13
+#: Characters after a word that can still change where it ends, unless it is a run of one class.
+AHEAD = 3
 
 _NO_RULE = 1 << 60
 #: White space as Unicode defines it (``str.isspace`` has four control characters more).
@@ -38,6 +43,8 @@ _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CUT = re.compile(f"(?<=[^{_WS}])[{_WS}]")
 _DOUBLE = re.compile(f"[{_WS}][{_WS}]")
 _CONTROL_SPACE = re.compile(r"[\x1c-\x1f]")
+#: Letters and signs that never compose with what stands before them: a text may be cut there and normalised in parts.
+_APART = re.compile("[!-~\u00c0-\u024f\u0391-\u03a9\u03b1-\u03c9\u0410-\u044f\u05d0-\u05ea\u0904-\u0939\u0e01-\u0e2e\u3041-\u3096\u30a1-\u30fa\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7a3\U0001f300-\U0001f64f]")
 #: The split of byte-level vocabularies whose file asks for the default one.
 _DEFAULT_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[\p{L}]+| ?[\p{N}]+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: From here on versions of Unicode differ in what is a letter or a number.
@@ -75,8 +82,11 @@ class Splitter:
     def __init__(self, pattern: str, letters: str, numbers: str) -> None:
         import regex
 
+        own = pattern.replace(r"\p{L}", letters).replace(r"\p{N}", numbers)
         self.plain = regex.compile(pattern).findall
-        self.wide = regex.compile(pattern.replace(r"\p{L}", letters).replace(r"\p{N}", numbers)).findall
+        self.wide = regex.compile(own).findall
+        self.each = regex.compile(own).finditer
+        self.runs = [regex.compile(x) for x in (rf"[{letters}]+", rf"[{numbers}]+", rf"[^\s{letters}{numbers}]+", r"\s+")]
 
     def __call__(self, text: str) -> list[str]:
         return (self.wide if not text.isascii() and _WIDE.search(text) else self.plain)(text)
@@ -192,17 +202,12 @@ class Vocabulary:
         return ids
 
     def word(self, data: bytes) -> list[int]:
-        """Tokens of one word."""
-        if len(data) > LONG:
-            coder = Transducer(self)
-            out = []
-            for start in range(0, len(data), BLOCK):
-                out += coder.push(data[start : start + BLOCK])
-            return out + coder.end()
-        if not data:
-            return []
-        first = self.first
-        return self.merge([*map(first.__getitem__, data[:-1]), self.last[data[-1]]])
+        """Tokens of one word, by a transducer."""
+        coder = Transducer(self)
+        out = []
+        for start in range(0, len(data), BLOCK):
+            out += coder.push(data[start : start + BLOCK])
+        return out + coder.end()
 
 
 class Transducer:
@@ -261,16 +266,81 @@ class Decoder:
         return data
 
 
-def spans(text: str) -> Iterator[str]:
-    """The text in parts of about SPAN characters, each but the first starting with white space after none."""
+def spans(text: str) -> Iterator[tuple[str, bool]]:
+    """The text in pieces of SPAN characters or a little more, and whether a word surely ends there.
+
+    Pieces end before white space that follows none, else before a character that composes with none
+    before it; text without either stays in one piece.
+    """
     at = 0
     while len(text) - at > SPAN:
-        cut = _CUT.search(text, at + SPAN)
+        cut = _CUT.search(text, at + SPAN, at + 2 * SPAN)
+        sure = cut is not None
+        cut = cut or _APART.search(text, at + SPAN)
         if cut is None:
             break
-        yield text[at : cut.start()]
+        yield text[at : cut.start()], sure
         at = cut.start()
-    yield text[at:] if at else text
+    yield text[at:] if at else text, True
+
+
+class Runner:
+    """Words of a text that comes in pieces which may end inside a word.
+
+    ``word`` is called for each whole word, ``tokens`` for what a transducer emits of a word that is longer
+    than a piece; what they return is yielded.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, word: Callable, tokens: Callable) -> None:
+        self.vocabulary, self.word, self.tokens = vocabulary, word, tokens
+        self.tail = ""
+        self.run = self.coder = None
+
+    def feed(self, piece: str, last: bool) -> Iterator:
+        v = self.vocabulary
+        text, at = self.tail + (v.normal(piece) if v.lower else piece), 0
+        self.tail = ""
+        if self.run is not None:
+            at = yield from self._carry(text, 0, last)
+            if self.run is not None:
+                return
+        sure = len(text) if last else len(text) - AHEAD
+        for m in v.find.each(text, at):
+            if m.end() > sure:
+                break
+            yield self.word(m[0])
+            at = m.end()
+        else:
+            m = None
+        if last:
+            return
+        self.tail = text[m.start() if m else at :]
+        if m and m.end() - m.start() > SPAN // 2:  # one run of a class
+            text, self.tail = self.tail, ""
+            skip = int(text[0] == " " and not text[1].isspace())
+            self.run = next(r for r in v.find.runs if r.match(text, skip))
+            self.coder = Transducer(v)
+            yield self.tokens(self.coder.push(text[:skip].encode()))
+            at = yield from self._carry(text, skip, False)
+            self.tail = text[at:]
+
+    def _carry(self, text: str, start: int, last: bool) -> Iterator:
+        """Give the transducer what goes on with the run; returns where the run ends."""
+        m = self.run.match(text, start)
+        end = m.end() if m else start
+        if self.run is self.vocabulary.find.runs[3] and not (last and end == len(text)):
+            end = max(start, end - 1)  # the last white space may go with the next word
+            over = m is None or m.end() < len(text)
+        else:
+            over = last or end < len(text)
+        for at in range(start, end, BLOCK):
+            yield self.tokens(self.coder.push(text[at : min(end, at + BLOCK)].encode()))
+        if over:
+            yield self.tokens(self.coder.end())
+            self.run = self.coder = None
+        else:
+            self.tail = text[end:]
+        return end
 
 
 class Encoder:
@@ -278,7 +348,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = v = vocabulary
-        self.words = Memo(lambda w: b"".join(i.to_bytes(4, "little") for i in v.word(w.encode())))
+        self.words = Memo(lambda w: packed(v.word(w.encode())))
         words, find = self.words.__getitem__, v.find
         self.chunks = Memo(lambda c: b"".join(map(words, find(c))), MEMO_CHUNKS)
         self.spaced = Memo(lambda c: b"".join(map(words, find(" " + c))), MEMO_CHUNKS)
@@ -288,8 +358,7 @@ class Encoder:
             if special is not None:
                 yield special.to_bytes(4, "little")
             elif part:
-                for span in spans(part):
-                    yield self.span(span)
+                yield from pieced(part, self.vocabulary, self.span, self.words.__getitem__, packed)
 
     def parts(self, text: str) -> Iterator[tuple[str, int | None]]:
         """Ordinary text, and added tokens with their id, in turn."""
@@ -314,18 +383,34 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, v.find(head))) + b"".join(map(self.spaced.__getitem__, rest))
 
 
+def pieced(text: str, vocabulary: Vocabulary, span: Callable, word: Callable, tokens: Callable) -> Iterator:
+    """``span`` of each piece of the text that holds whole words, ``word`` and ``tokens`` of what runs over the ends of pieces."""
+    runner = None
+    for piece, sure in spans(text):
+        if runner is None and sure:
+            yield span(piece)
+        else:
+            runner = runner or Runner(vocabulary, word, tokens)
+            yield from runner.feed(piece, sure)
+            runner = None if sure else runner
+
+
+def packed(ids: list[int]) -> bytes:
+    return b"".join(i.to_bytes(4, "little") for i in ids)
+
+
 class Counter:
     """Numbers of tokens, with whole-token words looked up in a table.
 
-    The table is proved when the vocabulary is loaded: a token is in it if its bytes are UTF-8 and the
-    merges, run on them, give that one token.
+    The table (``whole``: ids) is proved once, apart from the corpus, by ``whole_tokens``; without it, it is
+    proved here.
     """
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
+    def __init__(self, vocabulary: Vocabulary, whole: Iterable[int] | None = None) -> None:
         self.parts = Encoder(vocabulary).parts
-        v = vocabulary
+        self.vocabulary = v = vocabulary
         self.find = find = v.find
-        self.whole = whole = whole_tokens(v)
+        self.whole = whole = frozenset(token_bytes(v, i).decode() for i in (whole_tokens(v) if whole is None else whole))
         self.merged = Memo(lambda w: len(v.word(w.encode())))
         merged = self.merged
 
@@ -341,43 +426,59 @@ class Counter:
             if special is not None:
                 n += 1
             elif part:
-                for span in spans(part):
-                    if _DOUBLE.search(span):
-                        n += self.count(self.find(span))
-                    else:
-                        head, *rest = span.split(" ")
-                        n += self.count(self.find(head)) + sum(map(self.spaced.__getitem__, rest))
+                n += sum(pieced(part, self.vocabulary, self.span, lambda w: self.count((w,)), len))
         return n
 
+    def span(self, text: str) -> int:
+        if _DOUBLE.search(text):
+            return self.count(self.find(text))
+        head, *rest = text.split(" ")
+        return self.count(self.find(head)) + sum(map(self.spaced.__getitem__, rest))
+
+
+@functools.cache
+def _byte_of() -> dict[str, int]:
+    return {c: b for b, c in enumerate(byte_chars())}
+
 
-def whole_tokens(v: Vocabulary) -> frozenset[str]:
-    """The texts of the vocabulary that the merges turn into exactly one token."""
+def token_bytes(v: Vocabulary, i: int) -> bytes:
+    return bytes(map(_byte_of().__getitem__, v.tokens[i]))
+
+
+def whole_tokens(v: Vocabulary) -> list[int]:
+    """The tokens whose bytes are UTF-8 and which the merges, run on these bytes, give as exactly one token."""
     if v.suffix or v.lower:
         raise ValueError("whole tokens are proved for byte-level vocabularies only")
-    of = {c: b for b, c in enumerate(byte_chars())}
-    found = set()
-    for token, i in v.ids.items():
-        data = bytes(of[c] for c in token)
+    found = []
+    for i in v.ids.values():
+        data = token_bytes(v, i)
         if v.word(data) == [i]:
             try:
-                found.add(data.decode())
+                data.decode()
             except UnicodeDecodeError:
                 continue
-    return frozenset(found)
+            found.append(i)
+    return found
 
 
 _loaded: dict[tuple[str, str], object] = {}
 
 
-def loaded(kind: type, sent, key: str):
+def loaded(kind: type, sent, key: str, *more):
     """One ``kind`` (Encoder, Counter, Decoder, ...) of a broadcast vocabulary in each Python worker."""
     if (kind.__name__, key) not in _loaded:
         if ("vocabulary", key) not in _loaded:
             _loaded[("vocabulary", key)] = Vocabulary(*sent.value)
-        _loaded[(kind.__name__, key)] = kind(_loaded[("vocabulary", key)])
+        _loaded[(kind.__name__, key)] = kind(_loaded[("vocabulary", key)], *more)
     return _loaded[(kind.__name__, key)]
 
 
+@functools.cache
+def proved_table(source: str) -> list[int]:
+    """``whole_tokens`` of a vocabulary file, proved on the driver once a session."""
+    return whole_tokens(Vocabulary(source, library_class("L"), library_class("N")))
+
+
 def send_vocabulary(df: DataFrame, path: str) -> tuple[object, str]:
     """The vocabulary file as a broadcast (a fixed file of a few MB, read where the driver runs) and its key."""
     with open(path, encoding="utf-8") as f:
@@ -390,7 +491,8 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: tuple
     """``keep`` and the token ids (array<int>) of every whole text; null and empty texts have none.
 
     ``path`` is the vocabulary file, in the JSON of the tokenizers library. Rows are independent of each
-    other; extra columns are not read.
+    other, so repeated rows and null ids are encoded like others; an empty table gives no rows; extra
+    columns are not read. The ids of a very long text are one value, which grows with it.
     """
     sent, key = send_vocabulary(docs, path)
 
@@ -404,7 +506,10 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: tuple
 
 
 def decode_documents(rows: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), name: str = "text") -> DataFrame:
-    """``keep`` and the text of every row's token ids, special tokens included; null ids give an empty text."""
+    """``keep`` and the text of every row's token ids, special tokens included; null and empty ids give an empty text.
+
+    Repeated rows are decoded like others; an empty table gives no rows; extra columns are not read.
+    """
     sent, key = send_vocabulary(rows, path)
 
     def make() -> Callable[[list[int]], tuple]:
@@ -423,7 +528,9 @@ def round_trip_digests(docs: DataFrame, path: str, text: str = "text", keep: tup
     """``keep``, n_tokens, ids_sha256 and decoded_sha256 of every whole text, encoded and decoded span by span.
 
     Null and empty texts have no tokens and the digests of nothing. Ids are digested as little-endian
-    unsigned 32-bit integers, the decoded text as UTF-8.
+    unsigned 32-bit integers, the decoded text as UTF-8. Rows are independent of each other, so repeated rows
+    and null ids are treated like others; an empty table gives no rows; extra columns are not read. A very
+    long text, and a very long word in it, pass through in pieces.
     """
     sent, key = send_vocabulary(docs, path)
 
@@ -451,11 +558,16 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str
     """``keep``, n_bytes (UTF-8), n_tokens and over_limit (more than ``limit`` tokens) of every whole text.
 
     Null and empty texts have no bytes and no tokens. Strings of special tokens count as these tokens.
+    Rows are independent of each other, so repeated rows and null ids are counted like others; an empty
+    table gives no rows; extra columns are not read. A very long text passes through in pieces. The table of
+    whole tokens, one number for each token of the vocabulary at most, is proved on the driver.
     """
     sent, key = send_vocabulary(docs, path)
+    with open(path, encoding="utf-8") as f:
+        whole = docs.sparkSession.sparkContext.broadcast(proved_table(f.read()))
 
     def make() -> Callable[[str], tuple]:
-        count = loaded(Counter, sent, key)
+        count = loaded(Counter, sent, key, whole.value)
         return lambda body: (len(body.encode()), n := count(body), n > limit)
 
     return map_texts(docs, text, keep, "n_bytes long, n_tokens long, over_limit boolean", make, as_bytes=False)
