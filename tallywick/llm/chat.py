@@ -4,7 +4,7 @@ A turn is <|im_start|>, its role, a line feed, its text, <|im_end|> and a line f
 encoded apart, and the two markers are spliced in as reserved ids, so no text can make a marker. Control
 strings in a text are escaped before it is encoded: in each "<", backslashes, "|" one more backslash is
 put in; so escaped texts never hold "<|", and the escape can be taken back. The loss mask is the interval
-between two prefix sums of the segments' lengths.
+between two prefix sums of the segments' lengths, first within a turn, then over the conversation.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from .common import map_columns, no_null_text
 
 START, END = "<|im_start|>", "<|im_end|>"
 LEARNED = "assistant"
+#: Roles of which each Python worker remembers the tokens.
+MEMO_ROLES = 1000
 
 _PLAIN = re.compile(r"<(\\*)\|")
 _ESCAPED = re.compile(r"<\\(\\*)\|")
@@ -56,7 +58,9 @@ def turns_as_tokens(turns: DataFrame, path: str, conv_id: str = "conv_id", turn:
 
     ``ids`` are the turn's tokens; those in [loss_from, loss_to) are learned: the text of an assistant, and
     nothing else (an empty interval for other roles). Rows are encoded independently, so a conversation
-    of any length is spread over all tasks. Null roles and texts are empty. Extra columns are not read.
+    of any length is spread over all tasks, and repeated rows are turns of their own. Null roles and texts
+    are empty; null conv_ids and turns stay null. The ids of a very long text are one value, which grows with
+    it. An empty table gives no rows. Extra columns are not read.
     """
     sent, key = send_vocabulary(turns, path)
 
@@ -65,15 +69,20 @@ def turns_as_tokens(turns: DataFrame, path: str, conv_id: str = "conv_id", turn:
 
         encoder = loaded(Encoder, sent, key)
         start, end = reserved(1 + max(encoder.vocabulary.tokens))
-
-        def encoded(part: str) -> list[int]:
-            return np.frombuffer(b"".join(encoder.encode(part)), "<u4").tolist()
+        splice = [x.to_bytes(4, "little") for x in (start, end)]
+        heads: dict[str, bytes] = {}
+        after = splice[1] + b"".join(encoder.encode("\n"))
 
         def call(who: str, said: str) -> tuple:
-            segments = [[start], encoded(escape_role(who) + "\n"), encoded(escape(said)), [end], encoded("\n")]
-            sums = [0, *accumulate(map(len, segments))]
-            learned = (sums[2], sums[3]) if who == LEARNED else (sums[3], sums[3])
-            return [x for s in segments for x in s], *learned
+            head = heads.get(who)
+            if head is None:
+                head = splice[0] + b"".join(encoder.encode(escape_role(who) + "\n"))
+                if len(heads) < MEMO_ROLES:
+                    heads[who] = head
+            segments = [head, b"".join(encoder.encode(escape(said))), after]
+            sums = [0, *accumulate(len(x) // 4 for x in segments)]
+            learned = (sums[1], sums[2]) if who == LEARNED else (sums[2], sums[2])
+            return np.frombuffer(b"".join(segments), "<i4"), *learned
 
         return call
 
@@ -93,12 +102,17 @@ def placed(tokens: DataFrame) -> DataFrame:
 
 
 def read_back(tokens: DataFrame, path: str) -> DataFrame:
-    """conv_id, turn, role, text, learned (the text under the mask) and formatted_chars of each turn's tokens."""
+    """The rows of ``turns_as_tokens`` with what their tokens say: conv_id, turn, ids, loss_from, loss_to, role, text, learned and formatted_chars.
+
+    Every token is decoded once: those before, under and after the mask. ``learned`` says whether the mask
+    holds the whole text, and is an error if it holds another part of the turn.
+    """
     sent, key = send_vocabulary(tokens, path)
 
     def make() -> Callable[..., tuple]:
         decoder = loaded(Decoder, sent, key)
         start, end = reserved(1 + max(decoder.piece))
+        heads: dict[tuple, tuple[str, str]] = {}
 
         def text_of(ids: list[int]) -> str:
             decoder.begin()
@@ -108,57 +122,85 @@ def read_back(tokens: DataFrame, path: str) -> DataFrame:
             if ids[0] != start or ids.count(start) != 1 or ids.count(end) != 1:
                 raise ValueError("not one turn")
             stop = ids.index(end)
-            inside, after = text_of(ids[1:stop]), text_of(ids[stop + 1 :])
-            who, _, said = inside.partition("\n")
-            chars = len(START) + len(inside) + len(END) + len(after)
-            return unescape_role(who), unescape(said), unescape(text_of(ids[loss_from:loss_to])), chars
+            if loss_from < loss_to:
+                if loss_to != stop:
+                    raise ValueError("the mask is not one text")
+                head = tuple(ids[1:loss_from])
+                if head not in heads:
+                    if len(heads) >= MEMO_ROLES:
+                        heads.clear()
+                    before = text_of(head)
+                    if not before.endswith("\n") or before.count("\n") != 1:
+                        raise ValueError("the mask is not one text")
+                    heads[head] = before, unescape_role(before[:-1])
+                before, who = heads[head]
+                said = text_of(ids[loss_from:loss_to])
+            else:
+                before, _, said = text_of(ids[1:stop]).partition("\n")
+                who, before = unescape_role(before), before + "\n"
+            chars = len(START) + len(before) + len(said) + len(END) + len(text_of(ids[stop + 1 :]))
+            return who, unescape(said), loss_from < loss_to, chars
 
         return call
 
     return map_columns(
-        tokens, [F.col("ids"), F.col("loss_from"), F.col("loss_to")], ("conv_id", "turn"), "role string, text string, learned string, formatted_chars long", make
+        tokens, [F.col("ids"), F.col("loss_from"), F.col("loss_to")], ("conv_id", "turn", "ids", "loss_from", "loss_to"), "role string, text string, learned boolean, formatted_chars long", make
     )
 
 
 def conversation_digests(turns: DataFrame) -> DataFrame:
-    """One row for each conversation of ``read_back``: counts and digests of its turns in order.
-
-    A digest is sequential, so a conversation's rows pass through one task, sorted and one by one, with
-    nothing kept but the state of the hashes; encoding and decoding are done before. Turns are ordered by
-    number (null first), then role and text. A null conv_id is a conversation of its own.
+    """One row for each conversation of ``read_back``: it is assembled from its turns in order, as a stream.
+
+    n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars are of its texts; n_tokens and
+    ids_sha256 of its tokens, and mask_sha256 of its loss mask: first and last place of each learned interval
+    in the conversation, by the prefix sums of the turns' lengths. A digest is sequential, so a
+    conversation's rows pass through one task, sorted and one by one, with nothing kept but sums and the state
+    of the hashes; encoding and decoding are done before, in all tasks. Turns are ordered by number (null
+    first), then role and text; repeated rows are turns of their own. A null conv_id is a conversation of its
+    own. No rows give none.
     """
-    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    schema = pa.schema(
-        [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
-    )
+    import numpy as np
+
+    slim = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text", "learned", "formatted_chars", "ids", "loss_from", "loss_to")
+    ordered = slim.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn")
+    fields = {
+        "conv_id": pa.int64(), "n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(), "loss_sha256": pa.string(), "formatted_chars": pa.int64(),
+        "n_tokens": pa.int64(), "ids_sha256": pa.string(), "mask_sha256": pa.string(),
+    }
+    schema = pa.schema(fields)
+    hashed = ("turns_sha256", "loss_sha256", "ids_sha256", "mask_sha256")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: list[tuple] = []
-        state: list | None = None
+        done: list[dict] = []
+        state: dict | None = None
 
         def close() -> None:
             if state is not None:
-                done.append((state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), state[5]))
-
-        def batch_of() -> pa.RecordBatch:
-            columns = zip(*done, strict=True) if done else [()] * len(schema)
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                done.append(state | {k: state[k].hexdigest() for k in hashed})
 
         for batch in batches:
-            for conv, role, text, learned, chars in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if state is None or state[0] != conv:
+            names = ("conv_id", "role", "text", "learned", "formatted_chars", "loss_from", "loss_to")
+            values = (batch.column(c).to_pylist() for c in names)
+            tokens = batch.column("ids")
+            ends = tokens.offsets.to_numpy()
+            flat = tokens.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
+            for i, (conv, role, text, learned, chars, loss_from, loss_to) in enumerate(zip(*values, strict=True)):
+                if state is None or state["conv_id"] != conv:
                     close()
-                    state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                state[1] += 1
-                state[2].update(f"{role}\n{text}\n".encode())
-                state[3] += len(learned)
-                state[4].update(learned.encode())
-                state[5] += chars
-            yield batch_of()
+                    state = dict.fromkeys(fields, 0) | {"conv_id": conv} | {k: hashlib.sha256() for k in hashed}
+                state["n_turns"] += 1
+                state["turns_sha256"].update(f"{role}\n{text}\n".encode())
+                state["ids_sha256"].update(flat[ends[i] : ends[i + 1]].tobytes())
+                first = state["n_tokens"]
+                if learned:
+                    state["loss_chars"] += len(text)
+                    state["loss_sha256"].update(text.encode())
+                    state["mask_sha256"].update(np.array([first + loss_from, first + loss_to], "<u8").tobytes())
+                state["n_tokens"] = first + int(ends[i + 1] - ends[i])
+                state["formatted_chars"] += chars
+            yield pa.RecordBatch.from_pylist(done, schema)
             done.clear()
         close()
-        yield batch_of()
+        yield pa.RecordBatch.from_pylist(done, schema)
 
-    return ordered.select(F.col("conv_id").cast("long").alias("conv_id"), "role", "text", "learned", "formatted_chars").mapInArrow(
-        run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    )
+    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, ids_sha256 string, mask_sha256 string")
