@@ -2,8 +2,8 @@
 
 Documents and items are normalised alike: A-Z become a-z and every other ASCII character but digits and
 letters becomes a blank, byte for byte, so an offset in the normalised text is one in the original. A
-window is a run of consecutive words of an item; the automaton finds all occurrences of all windows in
-one pass over a document.
+window is a run of consecutive words of an item; the automaton, over words rather than letters, finds all
+occurrences of all windows in one pass over a document.
 """
 
 from __future__ import annotations
@@ -15,11 +15,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, map_columns, map_texts, no_null_text
+from .common import fresh, map_columns, map_texts, no_null_text, staged
 
 WINDOW = 10
-#: Bytes of benchmark text in one automaton, some 330 MB in each Python worker; a larger benchmark is scanned in blocks of items.
-MAX_BLOCK_BYTES = 1 << 20
+#: Bytes of benchmark text in one automaton, some 300 MB in each Python worker; a larger benchmark is scanned in blocks.
+MAX_BLOCK_BYTES = 4 << 20
 
 _BLANK = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
@@ -30,54 +30,52 @@ def normal_words(text: bytes) -> list[bytes]:
     return text.translate(_BLANK).split()
 
 
-def windows(items: Iterable[tuple[str, bytes]], size: int = WINDOW) -> dict[str, tuple[int, tuple[int, ...]]]:
-    """Pattern (words with a blank around each, bytes as latin-1) -> (words, numbers of the items)."""
-    found: dict[str, tuple[int, set[int]]] = {}
+Item = tuple[str | None, bytes]
+
+
+def windows(items: Iterable[Item], size: int = WINDOW) -> dict[tuple[bytes, ...], set[int]]:
+    """Window -> numbers of the items that have it."""
+    found: dict[tuple[bytes, ...], set[int]] = {}
     for number, (_, text) in enumerate(items):
         words = normal_words(text)
         for start in range(max(1, len(words) - size + 1) if words else 0):
-            run = words[start : start + size]
-            pattern = f" {b' '.join(run).decode('latin-1')} "
-            found.setdefault(pattern, (len(run), set()))[1].add(number)
-    return {k: (n, tuple(sorted(v))) for k, (n, v) in found.items()}
+            found.setdefault(tuple(words[start : start + size]), set()).add(number)
+    return found
 
 
-_built: dict[str, object] = {}
+_built: dict[str, tuple] = {}
 
 
-def scanner(items: list[tuple[str, bytes]], key: str, size: int = WINDOW) -> Callable[[bytes], tuple[int, list[tuple[int, int]], list[str]]]:
+def scanner(items: list[Item], key: str, size: int = WINDOW) -> Callable[[bytes], tuple[int, list[tuple[int, int]], list[str]]]:
     """A function from text to (words, merged runs [first, past last) of hit words, item ids that occur).
 
-    The automaton is built once for each Python worker and benchmark (``key``).
+    The automaton is built once for each Python worker and benchmark (``key``); its letters are the numbers
+    of the benchmark's words, and 0 for any other word. Items without an id hit, but are not named.
     """
     import ahocorasick
 
     if key not in _built:
         _built.clear()
-        automaton = ahocorasick.Automaton()
-        for pattern, value in windows(items, size).items():
-            automaton.add_word(pattern, value)
+        automaton, numbers = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE), {}
+        for window, own in windows(items, size).items():
+            automaton.add_word(tuple(numbers.setdefault(w, len(numbers) + 1) for w in window), (len(window), tuple(sorted(own))))
         automaton.make_automaton()
-        _built[key] = automaton
-    automaton = _built[key]
+        _built[key] = automaton, numbers
+    automaton, numbers = _built[key]
     ids = [i for i, _ in items]
 
     def scan(text: bytes) -> tuple[int, list[tuple[int, int]], list[str]]:
         words = normal_words(text)
         runs: list[tuple[int, int]] = []
-        numbers: set[int] = set()
+        hits: set[int] = set()
         if words and len(automaton):
-            line = f" {b' '.join(words).decode('latin-1')} "
-            seen = ends = 0
-            for end, (n, own) in automaton.iter(line):  # in the order of their ends
-                ends += line.count(" ", seen, end)
-                seen = end
-                first = max(0, ends - n)
+            for end, (n, own) in automaton.iter(tuple(numbers.get(w, 0) for w in words)):  # in the order of their ends
+                first = end + 1 - n
                 while runs and runs[-1][1] >= first:
                     first = min(first, runs.pop()[0])
-                runs.append((first, ends))
-                numbers.update(own)
-        return len(words), runs, sorted({ids[i] for i in numbers})
+                runs.append((first, end + 1))
+                hits.update(own)
+        return len(words), runs, sorted({ids[i] for i in hits} - {None})
 
     return scan
 
@@ -101,16 +99,36 @@ def byte_spans(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]
     return spans
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, max_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The benchmark in blocks of about ``max_bytes``, one after the other on the driver; one empty block if it has no items."""
-    rows = benchmark.select(F.col(item_id).cast("string").alias("id"), no_null_text(text).cast("binary").alias("text")).filter("id is not null")
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+def pieces(text: bytes, max_bytes: int, size: int = WINDOW) -> list[bytes]:
+    """Parts of an item of about ``max_bytes`` that have all its windows: each begins with the last words of the one before."""
+    words, out, start = normal_words(text), [], 0
+    while start < len(words):
+        end, own = start, 0
+        while end < len(words) and (own < max_bytes or end < start + 2 * size):
+            own += len(words[end]) + 1
+            end += 1
+        out.append(b" ".join(words[start:end]))
+        if end == len(words):
+            break
+        start = end - size + 1
+    return out
+
+
+def _blocks(benchmark: DataFrame, item_id: str, text: str, max_bytes: int, size: int) -> Iterator[list[Item]]:
+    """The benchmark in blocks of about ``max_bytes``, one after the other on the driver; one empty block if it has no items.
+
+    Items of more than an eighth of a block are cut into parts first, so no block is much larger.
+    """
+    rows = benchmark.select(F.col(item_id).cast("string").alias("id"), no_null_text(text).cast("binary").alias("text"))
+    cut = map_columns(rows, [F.col("text")], ("id",), "parts array<binary>", lambda: lambda body: (pieces(body, max(1, max_bytes // 8), size),))
+    parts = staged(cut.select("id", F.explode("parts").alias("text")), "benchmark-parts")
+    total = parts.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // max_bytes))
-    part = F.pmod(F.xxhash64("id"), F.lit(n))
+    part = F.pmod(F.xxhash64("id", "text"), F.lit(n))
     for k in range(n):
-        block = rows.filter(part == k).collect()
+        block = parts.filter(part == k).collect()
         if block or n == 1:
-            yield sorted((r["id"], bytes(r["text"])) for r in block)
+            yield sorted(((r["id"], bytes(r["text"])) for r in block), key=lambda x: (x[0] or "", x[1]))
 
 
 def contamination(
@@ -127,12 +145,14 @@ def contamination(
 
     A document word is hit if it lies inside any occurrence of a window; an item of fewer words than
     ``window``, but not none, is one window. Null and empty texts have no words and no hits; an item with
-    a null id is left out, repeated items count once. An empty benchmark hits nothing. Extra columns of
-    either table are not read. A benchmark above ``max_block_bytes`` is scanned in blocks of items: each has an
-    automaton and a pass over all documents, and the hits of a text, one row a block at most, are united.
+    a null id hits, but is not named; repeated items count once. Rows are judged one by one, so repeated
+    rows and null ids are like others, and an empty table gives no rows; very long texts are scanned whole,
+    one at a time. An empty benchmark hits nothing. Extra columns of either table are not read. A benchmark
+    above ``max_block_bytes`` is scanned in blocks: each has an automaton and a pass over all documents, and
+    the hits of a text, one row a block at most, are united. The driver holds one block at a time.
     """
     context = docs.sparkSession.sparkContext
-    sent = [(context.broadcast(b), hashlib.sha256(repr((b, window)).encode()).hexdigest()) for b in _blocks(benchmark, item_id, item_text, max_block_bytes)]
+    sent = [(context.broadcast(b), hashlib.sha256(repr((b, window)).encode()).hexdigest()) for b in _blocks(benchmark, item_id, item_text, max_block_bytes, window)]
     fields = "n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"
     if len(sent) == 1:
         scan = _scan_of(*sent[0], window)
@@ -176,7 +196,7 @@ def _block_hits(rows: DataFrame, text: str, digest: str, block, key: str, window
         return call
 
     found = map_texts(rows, text, (digest,), "runs array<struct<first: long, past: long>>, items array<string>", make)
-    return found.filter(F.size("items") > 0).dropDuplicates([digest])
+    return found.filter(F.size("runs") > 0).dropDuplicates([digest])
 
 
 def _length(runs: list[tuple[int, int]]) -> int:
@@ -198,7 +218,12 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``docs`` without the rows that hold any window of ``benchmark``; all columns as they are."""
+    """``docs`` without the rows that hold any window of ``benchmark``; all columns as they are.
+
+    Rows are judged one by one: null and empty texts, which have no words, stay, rows without an id and
+    repeated rows are judged like others, very long texts are scanned whole. An empty table gives no rows, an
+    empty benchmark keeps all. Columns named like the operator's own are kept.
+    """
     n_hit, n_words, items, spans = fresh(docs, "n_hit", "n_words", "items", "spans")
     if n_hit != "n_hit" or n_words != "n_words" or items != "items" or spans != "spans":
         renamed = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])

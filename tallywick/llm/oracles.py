@@ -51,29 +51,32 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM turns GROUP BY conv_id"""
 
 _OP7 = rf"""WITH dw AS (SELECT row_number() OVER () AS rid, doc_id, {_NORMAL} AS w FROM documents),
-iw AS (SELECT item_id, {_NORMAL} AS w FROM benchmark WHERE item_id IS NOT NULL),
+iw AS (SELECT item_id, {_NORMAL} AS w FROM benchmark),
 wins AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s:s + least(len(w), 10) - 1], ' ') AS gram FROM iw, unnest(range(1, greatest(len(w) - 9, 1) + 1)) t(s) WHERE len(w) > 0),
 sizes AS (SELECT DISTINCT n FROM wins),
 grams AS (SELECT rid, s, n, array_to_string(w[s:s + n - 1], ' ') AS gram FROM dw, sizes, unnest(range(1, len(w) - n + 2)) t(s) WHERE len(w) >= n),
 hits AS (SELECT rid, s, n, item_id FROM grams JOIN wins USING (gram, n)),
 cover AS (SELECT rid, count(DISTINCT p) AS n_hit FROM hits, unnest(range(s, s + n)) t(p) GROUP BY rid),
-names AS (SELECT rid, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS ids FROM hits GROUP BY rid)
+names AS (SELECT rid, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR)) FILTER (item_id IS NOT NULL)), ',') AS ids FROM hits GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN cover USING (rid) LEFT JOIN names USING (rid)"""
 
 _OP8 = """WITH RECURSIVE entries AS (SELECT n, list_reduce(list_prepend(n::BIGINT, range(8)::BIGINT[]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS e FROM range(256) t(n)),
 crc_table AS (SELECT list(e ORDER BY n) AS t FROM entries),
-rows AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 7))::BIGINT AS bits FROM documents),
-sized AS (SELECT rid, doc_id, length(h) // 2 + 1 AS size, bits % 4096 AS virtual_slot, (bits // 4096) % 16 AS cell,
+rows AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+plain AS (SELECT doc_id, length(h) // 2 + 1 AS size,
   xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(h), 2), lambda i: ('0x' || substr(h, i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295) AS text_crc32
   FROM rows, crc_table),
+records AS (SELECT *, concat_ws('/', coalesce(CAST(doc_id AS VARCHAR), ''), size, text_crc32) AS record, row_number() OVER (PARTITION BY doc_id, size, text_crc32) - 1 AS copy FROM plain),
+keyed AS (SELECT *, ('0x' || substr(md5(record || CASE WHEN copy > 0 THEN '/' || copy ELSE '' END), 1, 7))::BIGINT AS bits FROM records),
+sized AS (SELECT doc_id, size, text_crc32, bits % 4096 AS virtual_slot, (bits // 4096) % 16 AS cell FROM keyed),
 slots AS (SELECT virtual_slot, CAST(sum(size) AS BIGINT) AS bytes, row_number() OVER (ORDER BY sum(size) DESC, virtual_slot) AS n FROM sized GROUP BY virtual_slot),
 deal(n, virtual_slot, shard, loads) AS (
   SELECT 0::BIGINT, -1::BIGINT, -1::BIGINT, list_transform(range(16), lambda i: 0::BIGINT)
   UNION ALL SELECT s.n, s.virtual_slot, list_position(loads, list_min(loads))::BIGINT - 1,
     list_transform(loads, lambda x, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN x + bytes ELSE x END) FROM deal JOIN slots s ON s.n = deal.n + 1)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, CAST(shard AS INT) AS shard, row_number() OVER (PARTITION BY shard ORDER BY sized.virtual_slot, cell, doc_id, size, text_crc32) - 1 AS slot,
-  CAST(NULL AS INT) AS grown_shard, CAST(sized.virtual_slot AS INT) AS virtual_slot FROM sized JOIN deal ON deal.virtual_slot = sized.virtual_slot"""
+  CAST(NULL AS INT) AS grown_shard, CAST(sized.virtual_slot AS INT) AS virtual_slot, 1 AS map_version FROM sized JOIN deal ON deal.virtual_slot = sized.virtual_slot"""
 
 ORACLES: dict[str, str] = {
     "op3_quality_rules": _OP3,
