@@ -29,6 +29,13 @@ SHINGLE = 3
 SEED = 42
 MAX_TREE = 2048
 LEVELS = 3
+#: Near duplicates of the filtering stage: words of a shingle, similarity of the sets of shingles, and the bits within which
+#: candidates are looked for: two texts of this similarity differ in 10 of 64 bits on average.
+NEAR_SHINGLE = 5
+SIMILARITY = 0.8
+NEAR_RADIUS = 18
+#: Smallest hashes by which a text is put into shards, at each level: two texts of the similarity share one with 99.8 %.
+KEYS = 4
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 16
 
@@ -235,30 +242,179 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, max_tree: int = MAX_TREE) -> DataFrame:
+def near_reader(shingle: int, seed: int = SEED) -> Callable[[bytes], tuple]:
+    """A function from UTF-8 text to its SimHash, KEYS * LEVELS smallest hashes (none without a word) and a hash of its words."""
+    import numpy as np
+    from xxhash import xxh3_128_digest
+
+    fingerprint, shingles = fingerprinter(shingle, seed), shingle_reader(shingle, seed)
+    factors = np.random.default_rng(seed).integers(1, 1 << 63, KEYS * LEVELS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def call(text: bytes) -> tuple[int, list[int], bytes]:
+        own = shingles(text)
+        least = []
+        for factor in factors if len(own) else ():
+            mixed = own * factor
+            least.append(int(((mixed ^ (mixed >> np.uint64(29))) * factor).min().view(np.int64)))
+        return *fingerprint(text), least, xxh3_128_digest(b" ".join(text.lower().split()))
+
+    return call
+
+
+def shingle_reader(shingle: int, seed: int = SEED):
+    """A function from UTF-8 text to the sorted distinct hashes of its shingles; of fewer words than one, that of all."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    def call(text: bytes):
+        words = text.lower().split()
+        n = max(1, len(words) - shingle + 1) if words else 0
+        return np.unique(np.fromiter((xxh64_intdigest(b" ".join(words[i : i + shingle]), seed) for i in range(n)), dtype="<u8", count=n))
+
+    return call
+
+
+def candidate_groups(rows: DataFrame, radius: int, max_tree: int = MAX_TREE) -> DataFrame:
+    """(grp, node): groups of two nodes or more that may hold links.
+
+    ``rows``: node, fp, least. Nodes that share one of their smallest hashes are a shard, with a BK-tree of
+    its own; a group is what is linked in the tree, at most ``radius`` bits apart. A shard above ``max_tree``
+    is sharded again by other smallest hashes, and what is still too large is cut into chunks, a tree for each
+    pair of chunks.
+    """
+    keyed = rows.withColumn("shard", F.lit(0).cast("long"))
+    found = []
+    for level in range(LEVELS):
+        own = F.posexplode(F.slice("least", 1 + level * KEYS, KEYS)).alias("k", "v")
+        keyed = keyed.select("node", "fp", "least", "shard", own).withColumn("shard", F.xxhash64("shard", "k", "v")).drop("k", "v")
+        sizes = staged(keyed.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1"), "near-shards")
+        hot = sizes.filter(F.col("n") > max_tree)
+        shards = keyed.join(sizes.filter(F.col("n") <= max_tree).drop("n"), "shard").groupBy("shard").agg(F.collect_list(F.struct("fp", "node")).alias("items"))
+        found.append(_groups(shards, radius))
+        if hot.isEmpty():
+            break
+        rest = keyed.join(hot, "shard")
+        if level + 1 == LEVELS:
+            chunks = F.ceil(F.col("n") * 4 / max_tree).cast("int")
+            pairs = rest.select("shard", "fp", "node", F.pmod(F.xxhash64("node"), chunks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
+            chunked = pairs.groupBy(F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")).alias("shard")).agg(F.collect_list(F.struct("fp", "node")).alias("items"))
+            found.append(_groups(chunked, radius))
+        keyed = rest.drop("n")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _groups(shards: DataFrame, radius: int) -> DataFrame:
+    schema = pa.schema([("grp", pa.int64()), ("node", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            grp, nodes = [], []
+            for shard, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                of: dict[int, list[bytes]] = {}
+                for x in items:
+                    of.setdefault(x["fp"], []).append(x["node"])
+                root = dict(shard_links(list(of), radius))
+                groups: dict[int, list[bytes]] = {}
+                for fp, own in of.items():
+                    groups.setdefault(root.get(fp, fp), []).extend(own)
+                for fp, own in groups.items():
+                    if len(own) > 1:
+                        grp += [xxh64_intdigest(f"{shard} {fp}") - (1 << 63)] * len(own)
+                        nodes += own
+            yield pa.RecordBatch.from_arrays([pa.array(grp, pa.int64()), pa.array(nodes, pa.binary())], schema=schema)
+
+    return shards.select("shard", "items").mapInArrow(run, "grp long, node binary")
+
+
+def similar_links(members: DataFrame, radius: int, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) that span the groups of texts whose shingles are similar: exact Jaccard similarity within each candidate group.
+
+    ``members``: grp, node, text. A group, MAX_TREE texts at most, is held as its shingles.
+    """
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, fingerprint = shingle_reader(shingle), fingerprinter(shingle)
+        group, items = None, {}
+        for batch in batches:
+            links = []
+            for grp, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if grp != group:
+                    links += spanning_links(items, radius, similarity)
+                    group, items = grp, {}
+                items[node] = fingerprint(text)[0], shingles(text)
+            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in links], schema)
+        yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in spanning_links(items, radius, similarity)], schema)
+
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return members.select("grp", "node", text.alias("text")).repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a binary, b binary")
+
+
+def spanning_links(items: dict[bytes, tuple[int, object]], radius: int, similarity: float) -> list[tuple[bytes, bytes]]:
+    """Links between texts (node -> fingerprint, shingles) at most ``radius`` bits apart that are similar, as a spanning forest."""
+    import numpy as np
+
+    nodes = list(items)
+    fps = np.array([items[n][0] for n in nodes], np.int64).view(np.uint64)
+    parent = list(range(len(nodes)))
+    links = []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i in range(1, len(nodes)):
+        own = items[nodes[i]][1]
+        for j in np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= radius).tolist():
+            a, b = root(i), root(j)
+            if a != b and similar(own, items[nodes[j]][1], similarity):
+                parent[a] = b
+                links.append((nodes[i], nodes[j]))
+    return links
+
+
+def similar(a, b, similarity: float) -> bool:
+    """Whether two sorted sets have at least this Jaccard similarity; two empty ones are equal."""
+    import numpy as np
+
+    small, large = sorted((len(a), len(b)))
+    if small < similarity * large:
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= similarity * (small + large - common)
+
+
+def keep_representatives(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, radius: int = NEAR_RADIUS, max_tree: int = MAX_TREE
+) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the one with the smallest doc_id.
 
-    A row with a null doc_id stays only where its group has no other; rows of one doc_id but different
-    texts count as documents of their own, the smaller text hash first, and of equal rows one stays.
-    Documents without a word are one group. All columns are kept as they are.
+    Two texts are linked if their sets of ``shingle``-word shingles (A-Z lower-cased) have at least this
+    Jaccard ``similarity``; candidates come from BK-trees of fingerprints at most ``radius`` bits apart, and
+    are then checked exactly. Texts of equal words are one. A row with a null doc_id stays only where its
+    group has no other; rows of one doc_id but different texts count as documents of their own, the smaller
+    text hash first, and of equal rows one stays. Documents without a word, null and empty texts among them,
+    are one group. Very long texts are read whole, one at a time. An empty table gives no rows. All columns
+    are kept as they are, whatever their names; ids are whole numbers or strings.
     """
-    near = staged(
-        fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text")), keep=("doc_id", "hash")),
-        "simhash-fingerprints",
-    )
-    fps = near.groupBy("fp").agg(_first_row().alias("first"))
-    member = connected(staged(fingerprint_links(fps.select("fp"), radius, max_tree), "simhash-links"))
-    root, hash_, none, id_ = fresh(docs, "root", "hash", "none", "id")
-    chosen = (
-        fps.join(member.withColumnRenamed("node", "fp"), "fp", "left")
-        .groupBy(F.coalesce("root", "fp").alias(root))
-        .agg(F.min("first").alias("first"))
-        .select(F.col("first.none").alias(none), F.col("first.id").alias(id_), F.col("first.hash").alias(hash_))
-    )
-    rows = docs.withColumns({none: F.col(doc_id).isNull(), id_: F.coalesce(F.col(doc_id), F.lit(0)), hash_: F.xxhash64(text)})
+    none, id_, hash_ = fresh(docs, "none", "id", "hash")
+    zero = F.lit("").cast(docs.schema[doc_id].dataType) if docs.schema[doc_id].dataType.typeName() == "string" else F.lit(0).cast(docs.schema[doc_id].dataType)
+    rows = docs.withColumns({none: F.col(doc_id).isNull(), id_: F.coalesce(F.col(doc_id), zero), hash_: F.xxhash64(text)})
     keys = [none, id_, hash_]
+    read = map_texts(rows, text, keys, "fp long, least array<long>, node binary", lambda: near_reader(shingle))
+    first = F.min(F.struct(*keys)).alias("first")
+    classes = staged(staged(read, "near-features").groupBy("node").agg(first, F.min("fp").alias("fp"), F.min("least").alias("least")), "near-classes")
+    groups = staged(candidate_groups(classes.select("node", "fp", "least"), radius, max_tree), "near-groups")
+    wanted = groups.select("node").distinct().join(classes.select("node", "first.*"), "node")
+    texts = rows.select(*keys, F.col(text).alias("text")).join(wanted, keys).dropDuplicates(["node"]).select("node", "text")
+    links = staged(similar_links(groups.join(texts, "node"), radius, shingle, similarity), "near-links")
+    member = connected(links).select("node", "root")
+    chosen = classes.join(member, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select("first.*")
     return rows.join(chosen, keys, "left_semi").dropDuplicates(keys).select(docs.columns)
-
-
-def _first_row() -> Column:
-    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "hash"))
