@@ -71,8 +71,8 @@ def contamination(text, items, size=10):
             for i in range(len(w) - len(run) + 1):
                 if w[i : i + len(run)] == run:
                     hit.update(range(i, i + len(run)))
-                    names.add(str(name))
-    return len(w), len(hit), sorted(names)
+                    names.add(name)
+    return len(w), len(hit), sorted(str(x) for x in names if x is not None)
 
 
 def crc(text):
@@ -149,7 +149,7 @@ def line_dedup(docs, min_words=5):
     return out
 
 
-def span_dedup(docs, run=2, min_words=8, long_words=40):
+def span_dedup(docs, run=3, min_words=25, long_words=40):
     seen, out = set(), []
     for _, text in docs:
         parts = re.findall(r"[^.!?\n]+[.!?\n]*\s*|[.!?\n]+\s*", text)
@@ -157,16 +157,94 @@ def span_dedup(docs, run=2, min_words=8, long_words=40):
         plain = [[x for x in re.split(r"[\x20\x09-\x0D]+", p.translate(LOW)) if x] for p in parts]
         gone = set()
         for i in range(len(parts)):
-            for n, least in ((1, long_words), (run, min_words)):
-                body = [x for p in plain[i : i + n] for x in p]
-                if i + n <= len(parts) and len(body) >= least:
-                    key = (n, " ".join(body))
-                    if key in seen:
-                        gone |= set(range(i, i + n))
-                    seen.add(key)
+            ends = [i + n for n in range(run, len(parts) - i + 1) if sum(map(len, plain[i : i + n])) >= min_words][:1]
+            for end in ends + [i + 1] * (len(plain[i]) >= long_words):
+                key = (end - i, " ".join(x for p in plain[i:end] for x in p))
+                if key in seen:
+                    gone |= set(range(i, end))
+                seen.add(key)
         out.append("".join(p for i, p in enumerate(parts) if i not in gone))
     return out
 
 
+def shingles(text, size=5):
+    w = words((text or "").translate(LOW))
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def near_groups(texts):
+    """The component number of each text: links are 80 % of common shingles of five words."""
+    sets = [shingles(t) for t in texts]
+    return components(sets, lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b))
+
+
 def sha(data):
     return hashlib.sha256(data if isinstance(data, bytes) else data.encode()).hexdigest()
+
+
+def pseudonymised(texts, key):
+    """Texts of e-mail and IP addresses, numbers of three, two and four digits, tokens and names behind titles, split at "; "."""
+    from tallywick.llm.pii import TITLES, own_gender, surrogate
+
+    def parts_of(text):
+        """Lists of (type, canonical form, as written) and plain strings."""
+        pieces = [p for x in text.split("; ") for p in (x, "; ")][:-1]
+        roles = {}
+        for p in pieces:
+            head, _, rest = p.partition(". ")
+            if head in TITLES and rest:
+                *given, family = rest.split()
+                for g in given:
+                    roles.setdefault(g, "name_given")
+                roles.setdefault(family, "name_family")
+        for p in pieces:
+            head, _, rest = p.partition(". ")
+            if head in TITLES and rest:
+                *given, family = rest.split()
+                yield f"{head}. "
+                for i, g in enumerate(given):
+                    yield [("name_given", g.lower(), g, TITLES[head])]
+                    yield " "
+                yield [("name_family", family.lower(), family, "")]
+            elif "@" in p:
+                yield [("email_local", p.split("@")[0], p.split("@")[0], "")]
+                yield "@"
+                yield [("email_domain", p.split("@")[1], p.split("@")[1], "")]
+            elif re.fullmatch(r"\d\.\d\.1\.1", p):
+                yield [("ip", p, p, "")]
+            elif re.fullmatch(r"\d{3}-12-3456", p):
+                yield [("ssn", p.replace("-", ""), p, "")]
+            elif p.startswith("token="):
+                yield "token="
+                yield [("secret", p[6:], p[6:], "")]
+            else:
+                for i, x in enumerate(p.split(" ")):
+                    yield " " if i else ""
+                    yield [(roles[x], x.lower(), x, "")] if x in roles else x
+
+    split = [list(parts_of(t)) for t in texts]
+    genders = defaultdict(set)
+    for parts in split:
+        for p in parts:
+            if isinstance(p, list):
+                genders[p[0][:2]] |= {p[0][3]} - {""}
+    attempt = dict.fromkeys(genders, 0)
+    gender = {e: "" if len(g) > 1 else next(iter(g), own_gender(*e)) for e, g in genders.items()}
+    while True:
+        made = {e: surrogate(key, *e, n, gender[e]) for e, n in attempt.items()}
+        owner = {}
+        for kind, canon in sorted(made):
+            owner.setdefault((kind, made[kind, canon]), canon)
+        lost = [e for e, x in made.items() if owner[e[0], x] != e[1] or (e[0], x) in made]
+        if not lost:
+            break
+        for e in lost:
+            attempt[e] += 1
+
+    def shown(kind, canon, written, _):
+        x = made[kind, canon]
+        if kind.startswith("name"):
+            return x.capitalize()
+        return f"{x[:3]}-{x[3:5]}-{x[5:]}" if kind == "ssn" else x
+
+    return ["".join(shown(*p[0]) if isinstance(p, list) else p for p in parts) for parts in split]

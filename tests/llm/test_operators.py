@@ -104,13 +104,32 @@ def test_bk_tree_follows_edges_within_the_radius():
 
 
 def test_simhash_representatives(docs):
-    rows = collected(simhash.keep_representatives(docs))
-    whole = collected(simhash.near_duplicates(docs))
-    assert set(rows[0]) == {"doc_id", "text", "lang", "fp"} and all(r["fp"] == "clash" for r in rows)
-    assert len(rows) == len({brute.fingerprint(r["text"]) for r in rows})
-    kept = [r["doc_id"] for r in rows]
-    assert {r["component_id"] for r in whole} - {None} <= set(kept)
-    assert len(kept) == len({r["component_id"] if r["doc_id"] is not None else r["fingerprint"] for r in whole}) or len(kept) >= len({r["component_id"] for r in whole})
+    rows = collected(docs)
+    comp = brute.near_groups([r["text"] for r in rows])
+    first = {}
+    for c, r in zip(comp, rows, strict=True):
+        first[c] = min(first.get(c, (2, 0)), (r["doc_id"] is None, r["doc_id"] or 0))
+    for max_tree in (2048, 3):
+        got = collected(simhash.keep_representatives(docs, max_tree=max_tree))
+        assert set(got[0]) == {"doc_id", "text", "lang", "fp"} and all(r["fp"] == "clash" for r in got)
+        assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == sorted(first.values())
+
+
+def test_near_duplicates_of_five_words(spark):
+    rng = random.Random(17)
+    texts = [prose(rng, rng.choice([25, 60, 200, 900])) for _ in range(60)]
+    for _ in range(240):
+        w = rng.choice(texts).split()
+        for _ in range(max(1, len(w) // rng.choice([30, 45, 60, 100]))):
+            w[rng.randrange(len(w))] = f"new{rng.randrange(99)}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame([(i, t, f"s{i}") for i, t in enumerate(texts)], "doc_id long, text string, node string")
+    comp = brute.near_groups(texts)
+    for max_tree in (2048, 16):
+        kept = {r["doc_id"] for r in simhash.keep_representatives(df, max_tree=max_tree).collect()}
+        assert set(comp) <= kept and len(kept - set(comp)) <= 0.02 * (len(texts) - len(set(comp)))
+    by_name = {r["doc_id"] for r in simhash.keep_representatives(df.withColumn("doc_id", F.format_string("%04d", "doc_id"))).collect()}
+    assert {int(x) for x in by_name} == kept or len({int(x) for x in by_name} ^ kept) <= 4
 
 
 def test_quality_measures_and_base_rules(spark, docs):
@@ -171,17 +190,19 @@ def test_decontamination(spark, docs):
         "doc_id long, text string",
     )
     rows = docs.select("doc_id", "text").unionByName(more)
-    items = spark.createDataFrame(ITEMS + [ITEMS[0], (None, "alpha0 beta1")], "item_id long, text string")
-    for limit in (1 << 20, 20):
+    nameless = rows.filter("doc_id = 0").first()["text"].split()
+    every = [*ITEMS, ITEMS[0], (None, " ".join(nameless[3:20]))]
+    items = spark.createDataFrame(every, "item_id long, text string")
+    for limit in (1 << 20, 200, 20):
         got = collected(decontaminate.contamination(rows, items, max_block_bytes=limit, keep=("doc_id", "text")))
         assert len(got) == rows.count()
         for r in got:
-            n, hit, names = brute.contamination(r["text"], ITEMS)
+            n, hit, names = brute.contamination(r["text"], every)
             assert (r["n_words"], r["n_hit"], r["items"]) == (n, hit, names)
             cut = [(r["text"] or "").encode()[s["start"] : s["end"]].decode() for s in r["spans"]]
             assert sum(len(brute.normal_words(c)) for c in cut) == hit
     kept = collected(decontaminate.drop_contaminated(rows.withColumn("n_hit", F.lit(5)), items))
-    assert all(brute.contamination(r["text"], ITEMS)[1] == 0 and r["n_hit"] == 5 for r in kept)
+    assert all(brute.contamination(r["text"], every)[1] == 0 and r["n_hit"] == 5 for r in kept)
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.drop_contaminated(rows, none).count() == rows.count()
 
@@ -213,8 +234,24 @@ def test_shard_map_versions(spark, tmp_path):
         assert max(sizes) <= 1.03 * sum(sizes) / n
     shrunk = sharding.rebalanced_map(spark, second, loads, 10)
     assert {r["shard"] for r in shrunk.collect()} == set(range(10))
-    placed = sharding.shard_documents(rows, slot_map=first)
+    placed = sharding.shard_documents(rows, map_path=path, version=1)
     assert {r["virtual_slot"]: r["shard"] for r in placed.collect()} == old
+    grown = collected(sharding.shard_documents(rows, map_path=path))
+    assert {r["virtual_slot"]: r["shard"] for r in grown} == new and {r["map_version"] for r in grown} == {2}
+    again = str(tmp_path / "other")
+    made = collected(sharding.shard_documents(rows, map_path=again))
+    assert {r["virtual_slot"]: r["shard"] for r in sharding.read_map(spark, again).collect()} == {r["virtual_slot"]: r["shard"] for r in made}
+
+
+def test_repeated_ids_are_spread(spark):
+    same = spark.range(1000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    equal = spark.range(0, 1000, 1, 5).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    runs = [sorted(map(str, sharding.shard_documents(same.unionByName(equal).repartition(n)).collect())) for n in (3, 1)]
+    assert runs[0] == runs[1]
+    got = collected(sharding.shard_documents(same.unionByName(equal)))
+    for rows in ([r for r in got if r["doc_id"] == 7], [r for r in got if r["doc_id"] is None]):
+        sizes = [sum(r["size"] for r in rows if r["shard"] == s) for s in range(16)]
+        assert len(rows) == 1000 and max(sizes) < 2 * sum(sizes) / 16
 
 
 def test_patience_equals_the_recursive_version():
@@ -375,6 +412,48 @@ def test_transducer_emits_stable_tokens_in_bounded_memory():
         assert most <= bpe.BLOCK + v.lookahead + 200 + 64
 
 
+def long_texts(rng):
+    """Texts without white space, and of white space, that are longer than a piece."""
+    n = 3 * bpe.SPAN + 11
+    cjk = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    mixed = "".join(rng.choice(["日本", "don't", "'s", "'", "!!", "12", "é", "e\u0301", "Σ", "가", "x", "'ll", "'l"]) for _ in range(n))
+    yield from (cjk, mixed, "a" * n, "7" * n, "=" * n + "'s", "!" * n + "word", " " * n, " " * n + "x", "\n" * n + " x", "x" + " \n" * n + "y", "x " + "漢" * n, f"{cjk} {mixed}  {cjk[:50]}", "\u0301" * n)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_long_words_equal_the_library(name):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(vocabulary_path(name))
+    with open(vocabulary_path(name), encoding="utf-8") as f:
+        v = bpe.Vocabulary(f.read())
+    encoder = bpe.Encoder(v)
+    counter = bpe.Counter(v) if name.startswith("byte") else None
+    for text in long_texts(random.Random(21)):
+        expected = lib.encode(text, add_special_tokens=False).ids
+        assert b"".join(encoder.encode(text)) == bpe.packed(expected), text[:20]
+        assert counter is None or counter(text) == len(expected)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_memory_does_not_grow_with_a_word(name):
+    import tracemalloc
+
+    with open(vocabulary_path(name), encoding="utf-8") as f:
+        v = bpe.Vocabulary(f.read())
+    encoder, decoder = bpe.Encoder(v), bpe.Decoder(v)
+    peaks = []
+    for n in (40_000, 400_000):
+        text = "".join(chr(0x4E00 + i * 7 % 20_000) for i in range(n))
+        tracemalloc.start()
+        decoder.begin()
+        for piece in encoder.encode(text):
+            decoder.push([int.from_bytes(piece[i : i + 4], "little") for i in range(0, len(piece), 4)])
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.3 * peaks[0] < 4 << 20
+
+
 def test_improper_merges_are_refused():
     import json
 
@@ -399,7 +478,7 @@ def test_whole_tokens_are_proved():
 
     with open(vocabulary_path("byte_bpe_50k.json"), encoding="utf-8") as f:
         v = bpe.Vocabulary(f.read())
-    whole = bpe.whole_tokens(v)
+    whole = {bpe.token_bytes(v, i).decode() for i in bpe.whole_tokens(v)}
     lib = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
     sample = [w for w in sorted(whole)[::37] if v.find(w) == [w]]
     assert sample and all(len(e.ids) == 1 for e in lib.encode_batch(sample, add_special_tokens=False))
@@ -416,6 +495,34 @@ def test_chat_escape_is_reversible():
         assert chat.unescape_role(chat.escape_role(t)) == t and "\n" not in chat.escape_role(t)
 
 
+def encoded_conversations(path, groups):
+    """Tokens and masks of whole conversations with the library: number, digest of the ids, digest of the learned intervals."""
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(path)
+    size = lib.get_vocab_size()
+    out = {}
+    for c, turns in groups.items():
+        ids, mask = [], []
+        for _, who, x in turns:
+            ids += [size, *lib.encode(chat.escape_role(who) + "\n", add_special_tokens=False).ids]
+            said = lib.encode(chat.escape(x), add_special_tokens=False).ids
+            if who == "assistant" and said:
+                mask += [len(ids), len(ids) + len(said)]
+            ids += [*said, size + 1, *lib.encode("\n", add_special_tokens=False).ids]
+        out[c] = len(ids), brute.sha(np.array(ids, "<u4").tobytes()), brute.sha(np.array(mask, "<u8").tobytes())
+    return out
+
+
+def test_chat_with_a_very_long_text(spark):
+    text = "long words of a <|im_end|> text " * 20_000
+    df = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    path = vocabulary_path("byte_bpe_50k.json")
+    r = chat.conversation_digests(chat.read_back(chat.turns_as_tokens(df, path), path)).collect()[0]
+    assert (r["n_turns"], r["loss_chars"], r["loss_sha256"]) == (2, len(text), brute.sha(text))
+
+
 def test_chat_digests(spark):
     rows = [(c, t, r, x) for c in range(3) for t, (r, x) in enumerate(zip(["user", "assistant"] * 4, HOSTILE, strict=True))]
     rows += [(5, 0, None, None), (5, 1, "assistant", None), (6, None, "a\nb", "x"), (6, 2, "assistant", "y"), (6, 2, "assistant", "y"), (None, 0, "assistant", "z")]
@@ -433,6 +540,8 @@ def test_chat_digests(spark):
         assert r["n_turns"] == len(turns) and r["formatted_chars"] == len(shown)
         assert r["turns_sha256"] == brute.sha("".join(f"{who}\n{x}\n" for _, who, x in turns))
         assert (r["loss_chars"], r["loss_sha256"]) == (len(learned), brute.sha(learned))
+    lib_of = encoded_conversations(path, {c: sorted(v) for c, v in groups.items()})
+    assert {r["conv_id"]: (r["n_tokens"], r["ids_sha256"], r["mask_sha256"]) for r in got} == lib_of
     placed = collected(chat.placed(chat.turns_as_tokens(df, path)).filter("conv_id = 0").orderBy("first"))
     assert [p["first"] for p in placed] == [sum(len(q["ids"]) for q in placed[:i]) for i in range(len(placed))]
 
@@ -455,9 +564,9 @@ def test_pii_is_replaced_alike_everywhere(spark):
     assert [s["kind"] for s in by[1]["spans"]] == ["name", "email", "email", "ip", "phone", "phone", "card", "ssn", "secret", "name", "name"]
     for s in by[1]["spans"]:
         assert PRIVATE[s["start"] : s["end"]] not in new
-    found = pii.mentions(new)
-    assert [k for _, _, k, _ in found] == [s["kind"] for s in by[1]["spans"]]
-    part = {k: [new[a:b] for a, b, kind, _ in found if kind == k] for k in {x[2] for x in found}}
+    found = [(a, b, k) for a, b, k, _ in pii.mentions(new)]
+    assert [k for _, _, k in found] == [s["kind"] for s in by[1]["spans"]]
+    part = {k: [new[a:b] for a, b, kind in found if kind == k] for k in {x[2] for x in found}}
     assert part["phone"][0] == "+1 " + part["phone"][1] and part["name"][0].lower() == part["name"][1].lower() and part["name"][1].split()[1].isupper()
     assert pii.luhn(part["card"][0].replace("-", "")) and part["email"][0].split("@")[1] == part["email"][1].split("@")[1]
     assert all("а" <= c.lower() <= "я" for c in part["name"][2].replace(" ", ""))
@@ -472,20 +581,22 @@ def test_pii_finds_keys_without_other_signs(text):
 def test_pii_short_formats_do_not_run_out(spark):
     letters = [chr(c) for c in range(97, 123)]
     entities = [("email_local", c) for c in letters] + [("ip", f"{i}.{j}.1.1") for i in range(10) for j in range(10)]
-    rows = collected(pii.without_collisions(pii._drawn(spark.createDataFrame([(*e, 0) for e in entities], "kind string, canon string, attempt int"), b"k"), b"k"))
+    rows = collected(pii.without_collisions(pii._drawn(spark.createDataFrame([(*e, 0, "") for e in entities], "kind string, canon string, attempt int, gender string"), b"k"), b"k", 128))
     made = {(r["kind"], r["surrogate"]) for r in rows}
     assert len(made) == len(rows) == len(entities) and not made & set(entities)
-    for kind, canon in (("email_local", "a_"), ("email_domain", "a.io"), ("phone", "123456"), ("ssn", "123456789"), ("card", "4111111111111111"), ("secret", "deadbeef"), ("name_given_f", "ada"), ("name_family", "王")):
+    for kind, canon in (("email_local", "a_"), ("email_domain", "a.io"), ("phone", "123456"), ("ssn", "123456789"), ("card", "4111111111111111"), ("secret", "deadbeef"), ("name_given", "ada"), ("iban", "DE89370400440532013000"), ("name_family", "王")):
         short, grown = (pii.surrogate(b"k", kind, canon, n) for n in (0, 2 * pii.DRAWS))
         assert len(grown) > len(short), kind
         if kind == "card":
             assert pii.luhn(short) and pii.luhn(grown)
+        if kind == "iban":
+            assert pii.account_remainder(short) == pii.account_remainder(grown) == 1
     assert pii.shaped("phone", "+49 123-456", ["98765432"]) == "+49 987-65432"
 
 
 def test_pii_collisions_are_drawn_again(spark):
     domain = [f"{a}.{b}.1.1" for a in range(1, 10) for b in range(1, 10)]
-    table = spark.createDataFrame([("ip", c, 0) for c in domain], "kind string, canon string, attempt int")
+    table = spark.createDataFrame([("ip", c, 0, "") for c in domain], "kind string, canon string, attempt int, gender string")
     rows = collected(pii.without_collisions(pii._drawn(table, b"k"), b"k"))
     surrogates = [r["surrogate"] for r in rows]
     assert len(set(surrogates)) == len(domain) == len(rows) and not set(surrogates) & set(domain)
@@ -496,6 +607,56 @@ def test_pii_collisions_are_drawn_again(spark):
     assert few == joined and len(set(few.values())) == len(domain)
 
 
+def test_pii_follows_a_name_through_its_document(spark):
+    rows = [
+        (1, "Dr. Ada Lund came. Ada Lund spoke; Lund left, and ADA waited. lund is no name here."),
+        (2, "Mr. Andrea Rossi met Dr. Andrea Rossi."),
+        (3, "Lund alone is not found; nor is Andrea."),
+        (4, "Mrs. Kim Park and Mr. Kim Noor, then Kim."),
+    ]
+    got = {r["doc_id"]: r for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), b"k", spans="spans").collect()}
+    one = got[1]["text"]
+    assert len(got[1]["spans"]) == 4 and "Lund" not in one and "Ada" not in one and one.endswith("lund is no name here.")
+    given, family = one.split()[1], one.split()[2]
+    assert one == f"Dr. {given} {family} came. {given} {family} spoke; {family} left, and {given.upper()} waited. lund is no name here."
+    words = got[2]["text"].replace(".", "").split()
+    assert words[1:3] == words[5:7] and words[1][-1] in "nrsd"
+    assert got[3]["text"] == rows[2][1]
+    words = got[4]["text"].replace(",", "").replace(".", "").split()
+    assert words[1] == words[5] == words[-1]
+
+
+def test_pii_other_formats(spark):
+    text = "IBAN DE89 3704 0044 0532 0130 00 at 2001:db8::ff00:42:8329, born 1970-02-03, DOB: 3/12/1988, call 2125551234; DE00ABCD0044EFGH and 12:34:56:78 stay, as does 2125551234"
+    row = pii.pseudonymised(spark.createDataFrame([(1, text)], "doc_id long, text string"), b"k", spans="s").collect()[0]
+    assert [s["kind"] for s in row["s"]] == ["iban", "ipv6", "birth", "birth", "phone"]
+    again = pii.mentions(row["text"])
+    assert [k for _, _, k, _ in again] == ["iban", "ipv6", "birth", "birth", "phone"] and row["text"].endswith("; DE00ABCD0044EFGH and 12:34:56:78 stay, as does 2125551234")
+    assert row["text"][5:7] == "DE" and all(text[s["start"] : s["end"]] not in row["text"][: len(text) - 80] for s in row["s"])
+
+
+def test_pii_with_clashing_columns_and_long_texts(spark):
+    long = "filler words here. " * 60_000 + "Write to ada@example.org."
+    df = spark.createDataFrame([(1, long, "a", "b", "c", 5)], "doc_id long, text string, new_text string, spans string, found string, did int")
+    row = pii.pseudonymised(df, b"k", spans="spans").collect()[0]
+    assert (row["new_text"], row["found"], row["did"]) == ("a", "c", 5) and len(row["spans"]) == 1 and "ada@" not in row["text"] and len(row["text"]) == len(long)
+    with pytest.raises(TypeError):
+        pii.pseudonymised(df.withColumn("doc_id", F.lit("x")), b"k")
+
+
+def test_pii_equals_the_plain_version(spark):
+    rng = random.Random(31)
+    names = ["Ada Lund", "Ada Noor", "Kim Park", "Иван Петров", "Noor", "Mia Lund"]
+    kinds = [
+        lambda: f"{rng.choice(['a', 'b', 'ab', 'ba'])}@{rng.choice(['x', 'y', 'xy'])}.org", lambda: f"{rng.randrange(1, 9)}.{rng.randrange(1, 9)}.1.1", lambda: f"{rng.randrange(100, 110)}-12-3456",
+        lambda: f"{rng.choice(['Mr', 'Mrs', 'Dr', 'Frau'])}. {rng.choice(names)}", lambda: rng.choice(names), lambda: rng.choice(["words", "of", "no", "Interest", "at 12:30", "3.14"]),
+        lambda: f"token={rng.choice(['abcdefgh', 'deadbeef01', 'ABC/9876543'])}",
+    ]
+    rows = [(i, "; ".join(rng.choice(kinds)() for _ in range(rng.randrange(0, 9)))) for i in range(80)]
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()}
+    assert [got[i] for i, _ in rows] == brute.pseudonymised([t for _, t in rows], b"k")
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_on_empty_tables(spark, tmp_path_factory, name):
     path = tmp_path_factory.mktemp(name)

@@ -34,8 +34,7 @@ def test_stages_equal_their_plain_versions(spark, sf_dir):
     assert all(r["n_chars"] == len(r["text"]) for r in docs.collect())
 
     order = sorted(expected)
-    fps = [brute.fingerprint(expected[d]) for d in order]
-    comp = brute.components(fps, lambda a, b: (a ^ b).bit_count() <= 3)
+    comp = brute.near_groups([expected[d] for d in order])
     expected = {order[c]: expected[order[c]] for c in set(comp)}
     docs = corpus_pipeline.near_dedup(spark, docs, sf_dir)
     assert docs.columns == columns and rows_of(docs) == expected
