@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -18,12 +17,13 @@ from ..operators.neighbours import all_distances, nearest
 from ..operators.partitioner import balanced, cluster_stats, widest
 from ..operators.probing import box_repaired, fraud_counts, probe_ranks, probed
 from ..sources import index as index_store
+from ..sources import references
 from ..sources.fixture import events, transactions, vectors
 from ..sources.payload import PAYLOAD, as_json, parsed
-from ..sources.references import stratified
+from ..streaming.score import start
 from .cases import BOXED, GRAMMAR
-from .score import score_exact
-from .stage import stage_dir, staged
+from .score import score_exact, score_payloads
+from .stage import stage_path, staged
 
 #: A search asks for every row whose id is divisible by this, among all rows.
 EVERY = 100
@@ -177,9 +177,51 @@ def ivf_default_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fraud_counts(queries, replace(built, clusters=staged(built.clusters, "clusters"), apart=True))
 
 
+def _payloads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, index_store.Index]:
+    """Every hundredth transaction as JSON text, and an index over the others."""
+    rows = _transactions(spark, sf_dir)
+    built = index_store.build(rows.filter(F.col("orig_id") % EVERY != 0), DIMENSIONS, CLUSTERS)
+    index = replace(built, clusters=staged(built.clusters, "clusters"), probes=2, ambiguous_probes=4, most_probes=8)
+    # The time before is that of the event before, asked or not, so it is worked out first.
+    found = transactions(events(spark, sf_dir)).filter(F.col("event_id") % EVERY == 0)
+    return found.select("event_id", as_json([f.name for f in PAYLOAD.fields]).alias("body")), index
+
+
+def payload_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON payloads from parsing to the answer, by the exact mode of the search."""
+    bodies, index = _payloads(spark, sf_dir)
+    broken = spark.createDataFrame([(-1, "no json"), (-2, None), (-3, '{"merchant":{"mcc":5411}}')], "event_id long, body string")
+    return score_payloads(bodies.unionByName(broken), index, key="event_id", mode="exact").drop("fraud_score")
+
+
+def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same payloads as a stream of micro-batches, by the stepwise search; each batch is written under its number."""
+    bodies, index = _payloads(spark, sf_dir)
+    source, state, out = (stage_path(spark, f"stream-{x}") for x in ("source", "state", "scores"))
+    bodies.repartition(3).write.parquet(source)
+    stream = spark.readStream.schema(bodies.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    query = start(stream, index, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"), key="event_id", checkpoint=state)
+    query.awaitTermination()
+    return spark.read.parquet(out).select("event_id", "parse_ok", "fraud_count", "approved", "response")
+
+
+def json_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings written as a gzip JSON array, read back and quantised."""
+    path = stage_path(spark, "references")
+    references.write_json_array(vectors(spark, sf_dir).withColumn("vector", F.slice("vector", 1, DIMENSIONS)), path)
+    return references.read_json_array(spark, path).select("orig_id", "label", *quantised(F.col("vector"), "q"))
+
+
+def flat_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings written as flat binary files, read back and quantised."""
+    path = stage_path(spark, "flat")
+    references.write_flat(vectors(spark, sf_dir), f"{path}/vectors.bin", f"{path}/labels.bin")
+    return references.read_flat(spark, f"{path}/vectors.bin", f"{path}/labels.bin").select("orig_id", "label", *quantised(F.col("vector"), "q"))
+
+
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A systematic sample of 200 rows, 55 of 100 from class 1: a sampling operator."""
-    return stratified(_reference(spark, sf_dir).select("orig_id", "label"), 200)
+    return references.stratified(_reference(spark, sf_dir).select("orig_id", "label"), 200)
 
 
 def decision_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +231,7 @@ def decision_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters and rows of an index before and after it is saved and loaded."""
     index = index_store.build(_reference(spark, sf_dir), DIMENSIONS, CLUSTERS)
-    path = f"{stage_dir(spark)}/index-{uuid.uuid4().hex}"
+    path = stage_path(spark, "index")
     index_store.save(index, path)
     back = index_store.load(spark, path, DIMENSIONS)
 
@@ -203,7 +245,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         score_transactions, tx_features, quantize_embeddings, mcc_lookup, known_merchants, minutes_between, hour_weekday, payload_roundtrip, payload_grammar, pairwise_l2, knn5, knn5_vote,
-        max_variance_dim, split_k4, cluster_stats_k4, top_centroids, ivf_probe_vote, bbox_repair_vote, policy_flags, ivf_faithful_vote, ivf_default_vote, stratified_sample, decision_table,
+        max_variance_dim, split_k4, cluster_stats_k4, top_centroids, ivf_probe_vote, bbox_repair_vote, policy_flags, ivf_faithful_vote, ivf_default_vote, payload_scores, stream_scores, json_references, flat_references, stratified_sample, decision_table,
         index_roundtrip,
     )
 }

@@ -76,10 +76,10 @@ _P03 = """(q5 = -10000 AND q6 = -10000 AND ((q9 = 10000 AND q10 = 0 AND q7 BETWE
 
 
 
-def _clusters(rows: str, levels: int, more: str = "") -> str:
-    """2 ** levels clusters, their centres, and the queries."""
+def _clusters(rows: str, levels: int, more: str = "", members: str = "TRUE") -> str:
+    """2 ** levels clusters of the rows that are ``members``, their centres, and the queries."""
     steps = ",\n".join(_halve(f"level{n + 1}", f"level{n}", (1 << levels) >> (n + 1)) for n in range(levels))
-    return f"""{rows}, level0 AS (SELECT *, 0 AS node FROM qx),
+    return f"""{rows}, level0 AS (SELECT *, 0 AS node FROM qx WHERE {members}),
 {steps},
 stats AS (SELECT node AS cluster_id, count(*) AS n_rows, {_list('CAST((sum(d{i}::BIGINT) + count(*) // 2) // count(*) AS INT) AS c{i}')} FROM level{levels} GROUP BY node),
 qs AS (SELECT event_id AS qid, {_list('d{i} AS q{i}')} FROM qx WHERE event_id % 100 = 0{more})"""
@@ -91,15 +91,15 @@ _LATE = """q9 = 10000 AND q10 = 0 AND q11 = 0 AND q12 = 3000 AND q2 = 10000 AND
 _DENY = "q5 = -10000 AND q6 = -10000 AND q9 = 0 AND q10 = 10000 AND q7 <= 1000 AND q2 BETWEEN 5000 AND 10000 AND q12 = 2500"
 
 
-def _policy(levels: int, probes: int, ambiguous: int, most: int, more: str = "") -> str:
-    """``probes``, then (ambiguous) the exact neighbours, then (by the predicates) ``most`` probes, where a neighbour of a cluster of rank ``ambiguous`` + 1 to ``most`` counts twice."""
+def _policy(levels: int, probes: int, ambiguous: int, most: int, more: str = "", members: str = "TRUE", copies: int = 2) -> str:
+    """qid and fraud_count: ``probes``, then (ambiguous) the exact neighbours, then (by the predicates) ``most`` probes, where a neighbour of a cluster of rank ``ambiguous`` + 1 to ``most`` counts twice (``copies`` 1: once)."""
     n = 1 << levels
-    return f"""{_clusters(_TX, levels, more)},
+    return f"""{_clusters(_TX, levels, more, members)},
 ranks AS (SELECT qid, cluster_id, row_number() OVER (PARTITION BY qid ORDER BY {_sum('(q{i} - c{i})::BIGINT * (q{i} - c{i})::BIGINT')}, cluster_id) AS r FROM qs, stats),
 pairs AS (SELECT qid, r, label, event_id AS nid, {_DIST} AS dist FROM qs JOIN ranks USING (qid) JOIN level{levels} ON node = cluster_id WHERE event_id <> qid),
 top AS (SELECT qid, upto, r, label, nid, dist, row_number() OVER (PARTITION BY qid, upto ORDER BY dist, nid) AS n FROM pairs, (VALUES ({probes}), ({most}), ({n})) t(upto) WHERE r <= upto QUALIFY n <= 5),
 counts AS (SELECT qid, upto, sum(label) AS f FROM top GROUP BY ALL),
-twice AS (SELECT qid, label, row_number() OVER (PARTITION BY qid ORDER BY dist, nid, copy) AS n FROM top, (VALUES (0), (1)) c(copy) WHERE upto = {n} AND (copy = 0 OR r BETWEEN {ambiguous + 1} AND {most}) QUALIFY n <= 5),
+twice AS (SELECT qid, label, row_number() OVER (PARTITION BY qid ORDER BY dist, nid, copy) AS n FROM top, range({copies}) c(copy) WHERE upto = {n} AND (copy = 0 OR r BETWEEN {ambiguous + 1} AND {most}) QUALIFY n <= 5),
 doubled AS (SELECT qid, sum(label) AS f FROM twice GROUP BY qid),
 first AS (SELECT qid, f AS f1, f BETWEEN 2 AND 4 OR (f = 1 AND q9 = 0) AS unsure FROM counts JOIN qs USING (qid) WHERE upto = {probes}),
 second AS (SELECT qid, unsure, CASE WHEN unsure THEN f ELSE f1 END AS f2 FROM first JOIN counts USING (qid) WHERE upto = {n}),
@@ -108,6 +108,13 @@ SELECT qid, CAST(CASE WHEN f2 < 3 AND ({_WIDE}) THEN CASE WHEN f3 < 3 AND {_LATE
 FROM third JOIN qs USING (qid)"""
 
 
+def _answers(copies: int, more: str = "") -> str:
+    """The answers to every hundredth transaction by an index of the others."""
+    return f"""SELECT event_id, parse_ok, fraud_count, fraud_count < 3 AS approved,
+      '{{"approved":' || CASE WHEN fraud_count < 3 THEN 'true' ELSE 'false' END || ',"fraud_score":' || CAST(fraud_count / 5.0::DOUBLE AS VARCHAR) || '}}' AS response
+    FROM (SELECT qid AS event_id, TRUE AS parse_ok, fraud_count FROM ({_policy(4, 2, 4, 8, members="event_id % 100 <> 0", copies=copies)}){more})"""
+
+
 _BOXED = " UNION ALL SELECT * FROM (VALUES " + ", ".join(str((-1 - i, *q)) for i, q in enumerate(BOXED)) + ") b"
 
 #: What is read from the texts of cases.py that are taken, by their number; all others are refused.
@@ -146,6 +153,7 @@ ORACLES: dict[str, str] = {
       {_P03} OR (q9 >= 10000 AND q10 = 0 AND q2 >= 5000 AND q7 BETWEEN 3000 AND 3600 AND (q12 = 3000 OR q12 >= 8500)) AS approval_repair, {_P03} AS boundary_approval,
       q9 = 10000 AND q10 = 0 AND q11 = 0 AND q12 = 3000 AND q2 = 10000 AND q5 BETWEEN 250 AND 350 AND q6 BETWEEN 300 AND 450 AND q7 BETWEEN 3300 AND 3500 AND q8 = 2000 AND q0 BETWEEN 1400 AND 1550 AS late_denial,
       q5 = -10000 AND q6 = -10000 AND q9 = 0 AND q10 = 10000 AND q7 <= 1000 AND q2 BETWEEN 5000 AND 10000 AND q12 = 2500 AS denial_repair, q9 = 0 AS ambiguous_at_1, TRUE AS ambiguous_at_3 FROM q""",
+    **dict.fromkeys(("json_references", "flat_references"), f"{_EMB} SELECT row_number() OVER (ORDER BY event_id) - 1 AS orig_id, label, {_list('d{i} AS q{i}')} FROM qx"),
     "stratified_sample": """WITH rows AS (SELECT vec_id AS orig_id, CAST(label < 3 AS INT) AS label FROM embeddings),
       ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY orig_id) - 1 AS i FROM rows),
       sizes AS (SELECT count(*) FILTER (label = 1) AS n1, count(*) FILTER (label = 0) AS n0 FROM rows),
@@ -155,6 +163,8 @@ ORACLES: dict[str, str] = {
       SELECT orig_id, label, row_number() OVER (ORDER BY i, label DESC) - 1 AS position FROM picked""",
     "ivf_faithful_vote": _policy(4, 2, 4, 8),
     "ivf_default_vote": _policy(8, 8, 24, 128, _BOXED),
+    "payload_scores": _answers(1, " UNION ALL SELECT * FROM (VALUES (-1, FALSE, 0), (-2, FALSE, 0), (-3, FALSE, 0)) b"),
+    "stream_scores": _answers(2),
     "index_roundtrip": f"{_clusters(_EMB, 4)} SELECT version, count(*) AS clusters, CAST(sum(n_rows) AS BIGINT) AS n_rows, CAST(sum(c0) AS BIGINT) AS sum_c0 FROM stats, (VALUES ('built'), ('loaded')) t(version) GROUP BY version",
     "decision_table": "SELECT CAST(range AS INT) AS fraud_count, range / 5.0::DOUBLE AS fraud_score, range < 3 AS approved FROM range(6)",
 }

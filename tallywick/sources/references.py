@@ -16,18 +16,28 @@ FRAUD_SHARE = 0.55
 def read_json_array(spark: SparkSession, path: str, dimensions: int = DIMENSIONS, partitions: int | None = None) -> DataFrame:
     """orig_id, vector, label (1: "fraud", 0: any other) from a file that holds one JSON array.
 
-    orig_id is the place in the array. Vectors are padded with zeros; longer ones are an error. One such
-    file is one task to parse, so the rows are dealt out afterwards.
+    orig_id is the place in the array. Vectors are padded with zeros; longer ones are an error, as is text
+    that is no such array. One such file is one task to parse, from its stream, so the rows are dealt out
+    afterwards, and numbered before.
     """
-    items = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<struct<vector: array<float>, label: string>>").alias("items"))
-    rows = items.select(F.posexplode("items").alias("at", "item"))
+    read = spark.read.option("multiLine", True).option("mode", "FAILFAST").schema("vector array<float>, label string").json(path)
+    rows = read.withColumn("at", F.monotonically_increasing_id())
     zeros = F.array_repeat(F.lit(0.0).cast("float"), dimensions)
-    padded = F.slice(F.concat(F.coalesce("item.vector", zeros), zeros), 1, dimensions)
-    checked = F.when(F.size("item.vector") > dimensions, F.raise_error(F.lit(f"a vector has more than {dimensions} items"))).otherwise(padded)
-    found = rows.select(F.col("at").cast("long").alias("orig_id"), checked.alias("vector"), (F.coalesce("item.label", F.lit("")) == "fraud").cast("int").alias("label"))
+    padded = F.slice(F.concat(F.coalesce("vector", zeros), zeros), 1, dimensions)
+    checked = F.when(F.size("vector") > dimensions, F.raise_error(F.lit(f"a vector has more than {dimensions} items"))).otherwise(padded)
+    found = rows.select(F.col("at").alias("orig_id"), checked.alias("vector"), (F.coalesce("label", F.lit("")) == "fraud").cast("int").alias("label"))
     return found.repartition(partitions) if partitions else found
 
 
+def write_json_array(rows: DataFrame, path: str) -> None:
+    """(orig_id, vector, label) by orig_id as one JSON array, gzip, in a folder at ``path``: one file, so one task writes it, row by row."""
+    item = F.to_json(F.struct("vector", F.when(F.col("label") == 1, "fraud").otherwise("legit").alias("label")))
+    first = rows.agg(F.min("orig_id")).first()[0]
+    lines = rows.select(F.lit(1).alias("part"), "orig_id", F.concat(F.when(F.col("orig_id") != first, ",").otherwise(""), item).alias("line"))
+    ends = rows.sparkSession.createDataFrame([(0, 0, "["), (2, 0, "]")], "part int, orig_id long, line string")
+    lines.unionByName(ends).orderBy("part", "orig_id").select("line").coalesce(1).write.option("compression", "gzip").text(path)
+
+
 def read_flat(spark: SparkSession, vectors: str, labels: str, dimensions: int = DIMENSIONS) -> DataFrame:
     """orig_id, vector, label from little-endian 32-bit floats and one label byte a row; the labels' length is the count."""
     both = spark.read.format("binaryFile").load([vectors, labels])
@@ -47,11 +57,35 @@ def read_flat(spark: SparkSession, vectors: str, labels: str, dimensions: int =
     return one.mapInPandas(unpack, "orig_id long, vector array<float>, label int")
 
 
-def flat_bytes(rows: list[tuple[list[float], int]]) -> tuple[bytes, bytes]:
-    """The two files that ``read_flat`` reads, for small tables."""
+def write_flat(rows: DataFrame, vectors: str, labels: str, dimensions: int = DIMENSIONS) -> None:
+    """(orig_id, vector, label) by orig_id as the two files that ``read_flat`` reads, in whatever store Spark writes.
+
+    Each is one file in order, so the rows pass through the driver, a partition at a time, and none is kept.
+    Vectors are padded with zeros or cut.
+    """
     import struct
 
-    return b"".join(struct.pack(f"<{len(v)}f", *v) for v, _ in rows), bytes(y for _, y in rows)
+    spark = rows.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(p) for p in (vectors, labels)]
+    files = [p.getFileSystem(conf).create(p, True) for p in paths]
+    held = bytearray(), bytearray()
+    try:
+        for row in rows.select("vector", "label").orderBy("orig_id").toLocalIterator(prefetchPartitions=True):
+            held[0].extend(struct.pack(f"<{dimensions}f", *[*row["vector"], *[0.0] * dimensions][:dimensions]))
+            held[1].append(row["label"])
+            if len(held[0]) > 1 << 20:
+                _flush(files, held)
+        _flush(files, held)
+    finally:
+        for f in files:
+            f.close()
+
+
+def _flush(files: list, held: tuple[bytearray, bytearray]) -> None:
+    for f, data in zip(files, held, strict=True):
+        f.write(data)
+        data.clear()
 
 
 def exists(spark: SparkSession, *paths: str) -> bool:

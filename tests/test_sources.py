@@ -67,11 +67,22 @@ def test_json_array_of_vectors(spark, tmp_path):
         references.read_json_array(spark, path).collect()
 
 
+def test_json_arrays_are_written(spark, tmp_path):
+    for n in (0, 1, 5):
+        df = spark.createDataFrame([(i, [i / 7, -1.0], i % 2) for i in range(n)], "orig_id long, vector array<float>, label int")
+        references.write_json_array(df.repartition(2), str(tmp_path / str(n)))
+        (part,) = (tmp_path / str(n)).glob("part-*.gz")
+        with gzip.open(part, "rt") as f:
+            assert [x["label"] for x in json.load(f)] == [["legit", "fraud"][i % 2] for i in range(n)]
+        back = sorted((r["orig_id"], r["vector"][:2], r["label"]) for r in references.read_json_array(spark, str(tmp_path / str(n))).collect())
+        assert back == sorted((r["orig_id"], r["vector"], r["label"]) for r in df.collect())
+
+
 def test_flat_files(spark, tmp_path):
     data = [([i + d / 100 for d in range(14)], i % 2 ^ 1) for i in range(10)]
-    vectors, labels = references.flat_bytes(data)
-    (tmp_path / "v.bin").write_bytes(vectors)
-    (tmp_path / "y.bin").write_bytes(labels)
+    df = spark.createDataFrame([(i, v, y) for i, (v, y) in enumerate(data)], "orig_id long, vector array<float>, label int").repartition(3)
+    references.write_flat(df, str(tmp_path / "v.bin"), str(tmp_path / "y.bin"))
+    assert (tmp_path / "y.bin").read_bytes() == bytes(y for _, y in data) and len((tmp_path / "v.bin").read_bytes()) == 10 * 14 * 4
     rows = sorted(references.read_flat(spark, str(tmp_path / "v.bin"), str(tmp_path / "y.bin")).collect())
     assert len(rows) == 10 and [r["label"] for r in rows] == [y for _, y in data]
     assert rows[3]["vector"] == pytest.approx(data[3][0], rel=1e-6)
