@@ -184,7 +184,13 @@ def quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: st
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang", **limits) -> DataFrame:
-    """``docs`` without the rows that fail the base rules or a certified cutoff; all columns as they are."""
+    """``docs`` without the rows that fail the base rules or a certified cutoff; all columns as they are.
+
+    Null and empty texts have no words and go; null strata are one stratum; rows without an id are judged but
+    never labelled; repeated rows are judged alike. Very long texts are measured whole. Columns named like a
+    measure are kept. An empty table gives no rows. Texts are written once with their measures, which cost more
+    than the writing, so that they are not measured again.
+    """
     names = dict(zip(MEASURES, fresh(docs, *MEASURES), strict=True))
     rows = staged(measured(docs, text, names), "quality-measures")
     found = judged(rows, labels, names, stratum, doc_id, **limits)
