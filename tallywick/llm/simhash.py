@@ -14,7 +14,7 @@ square of the corpus.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
 import pyarrow as pa
@@ -43,29 +43,36 @@ BLOCK = 1 << 16
 def fingerprinter(shingle: int = SHINGLE, seed: int = SEED) -> Callable[[bytes], tuple[int]]:
     """A function from UTF-8 text to its 64-bit SimHash, as a signed integer."""
     import numpy as np
-    from xxhash import xxh64_intdigest
 
     def call(text: bytes) -> tuple[int]:
-        words = text.lower().split()  # of bytes: lower-cases A-Z only and splits at \x20, \x09-\x0D only
-        if not words:
-            return (0,)
-        if len(words) < shingle:
-            grams = iter([b" ".join(words)])
-            n = 1
-        else:
-            grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-            n = len(words) - shingle + 1
-        hashes = map(xxh64_intdigest, grams, repeat(seed))
-        ones = np.zeros(64, dtype=np.int64)
-        for start in range(0, n, BLOCK):
-            h = np.fromiter(hashes, dtype="<u8", count=min(BLOCK, n - start))
-            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        bits = np.packbits(2 * ones > n, bitorder="little")
-        return (int(bits.view("<i8")[0]),)
+        n, hashes = shingle_hashes(text, shingle, seed)
+        return (majority((np.fromiter(hashes, dtype="<u8", count=min(BLOCK, n - start)) for start in range(0, n, BLOCK)), n),)
 
     return call
 
 
+def shingle_hashes(text: bytes, shingle: int, seed: int) -> tuple[int, Iterator[int]]:
+    """The number of shingles of a text, repeats included, and their hashes; of fewer words than one, that of all."""
+    from xxhash import xxh64_intdigest
+
+    words = text.lower().split()  # of bytes: lower-cases A-Z only and splits at \x20, \x09-\x0D only
+    if len(words) < shingle:
+        n, grams = min(1, len(words)), iter([b" ".join(words)])
+    else:
+        n, grams = len(words) - shingle + 1, map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
+    return n, map(xxh64_intdigest, grams, repeat(seed))
+
+
+def majority(blocks: Iterable, n: int) -> int:
+    """The bits set in over half of ``n`` hashes, given in blocks, as a signed integer; zero for none."""
+    import numpy as np
+
+    ones = np.zeros(64, dtype=np.int64)
+    for h in blocks:
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+
+
 class BKTree:
     """Fingerprints in a tree: a child hangs under its integer Hamming distance to the parent."""
 
@@ -247,29 +254,28 @@ def near_reader(shingle: int, seed: int = SEED) -> Callable[[bytes], tuple]:
     import numpy as np
     from xxhash import xxh3_128_digest
 
-    fingerprint, shingles = fingerprinter(shingle, seed), shingle_reader(shingle, seed)
+    shingles = shingle_reader(shingle, seed)
     factors = np.random.default_rng(seed).integers(1, 1 << 63, KEYS * LEVELS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def call(text: bytes) -> tuple[int, list[int], bytes]:
-        own = shingles(text)
-        least = []
-        for factor in factors if len(own) else ():
-            mixed = own * factor
-            least.append(int(((mixed ^ (mixed >> np.uint64(29))) * factor).min().view(np.int64)))
-        return *fingerprint(text), least, xxh3_128_digest(b" ".join(text.lower().split()))
+        fingerprint, own = shingles(text)
+        least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+        for start in range(0, len(own), BLOCK):
+            mixed = own[start : start + BLOCK, None] * factors
+            least = np.minimum(least, ((mixed ^ (mixed >> np.uint64(29))) * factors).min(axis=0))
+        return fingerprint, least.view(np.int64) if len(own) else [], xxh3_128_digest(b" ".join(text.lower().split()))
 
     return call
 
 
-def shingle_reader(shingle: int, seed: int = SEED):
-    """A function from UTF-8 text to the sorted distinct hashes of its shingles; of fewer words than one, that of all."""
+def shingle_reader(shingle: int, seed: int = SEED) -> Callable[[bytes], tuple]:
+    """A function from UTF-8 text to its SimHash and the sorted distinct hashes of its shingles."""
     import numpy as np
-    from xxhash import xxh64_intdigest
 
-    def call(text: bytes):
-        words = text.lower().split()
-        n = max(1, len(words) - shingle + 1) if words else 0
-        return np.unique(np.fromiter((xxh64_intdigest(b" ".join(words[i : i + shingle]), seed) for i in range(n)), dtype="<u8", count=n))
+    def call(text: bytes) -> tuple:
+        n, hashes = shingle_hashes(text, shingle, seed)
+        h = np.fromiter(hashes, dtype="<u8", count=n)
+        return majority((h[start : start + BLOCK] for start in range(0, n, BLOCK)), n), np.unique(h)
 
     return call
 
@@ -339,7 +345,7 @@ def similar_links(members: DataFrame, radius: int, shingle: int, similarity: flo
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, fingerprint = shingle_reader(shingle), fingerprinter(shingle)
+        shingles = shingle_reader(shingle)
         group, items = None, {}
         for batch in batches:
             links = []
@@ -347,7 +353,7 @@ def similar_links(members: DataFrame, radius: int, shingle: int, similarity: flo
                 if grp != group:
                     links += spanning_links(items, radius, similarity)
                     group, items = grp, {}
-                items[node] = fingerprint(text)[0], shingles(text)
+                items[node] = shingles(text)
             yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in links], schema)
         yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in spanning_links(items, radius, similarity)], schema)
 
