@@ -158,6 +158,7 @@ def _is_address(text: str) -> bool:
 
 #: Patterns whose finds are looked at again.
 _PROPER: dict[str, Callable[[str], bool]] = {
+    "card": lambda x: not x.isdigit() or luhn(x),  # plain digits are a card only if the check digit holds
     "phone": lambda x: sum(c.isdigit() for c in x) >= 8,
     "iban": lambda x: account_remainder(x.replace(" ", "")) == 1,
     "ipv6": _is_address,
