@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar
@@ -229,14 +229,25 @@ def decision_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters and rows of an index before and after it is saved and loaded."""
-    index = index_store.build(_reference(spark, sf_dir), DIMENSIONS, CLUSTERS)
+    """Clusters, members and parameters of an index before and after it is saved and loaded."""
+    built = index_store.build(_reference(spark, sf_dir), DIMENSIONS, CLUSTERS)
+    index = replace(built, clusters=staged(built.clusters, "clusters"), probes=3, ambiguous_probes=5, most_probes=9)
     path = stage_path(spark, "index")
     index_store.save(index, path)
     back = index_store.load(spark, path, DIMENSIONS)
 
     def counted(i: index_store.Index, name: str) -> DataFrame:
-        return i.clusters.agg(F.lit(name).alias("version"), F.count("*").alias("clusters"), F.sum("n_rows").alias("n_rows"), F.sum(F.col("c0").cast("long")).alias("sum_c0"))
+        def sums(prefix: str) -> Column:
+            return F.sum(sum((F.col(c).cast("long") * (n + 1) for n, c in enumerate(columns(prefix))), F.lit(0)) * (F.col("cluster_id") + 1))
+
+        clusters = i.clusters.agg(
+            F.lit(name).alias("version"), F.count("*").alias("clusters"), F.sum("n_rows").alias("n_rows"), *[sums(p).alias(f"sum_{p}") for p in ("c", "lo", "hi")],
+            F.lit(i.probes).alias("probes"), F.lit(i.ambiguous_probes).alias("ambiguous_probes"), F.lit(i.most_probes).alias("most_probes"), F.lit(i.repair).alias("repair"),
+        )
+        members = i.members.agg(
+            F.lit(name).alias("version"), F.count("*").alias("members"), F.sum("label").alias("labels"), F.sum(F.col("orig_id") * (F.col("cluster_id") + 1)).alias("sum_id"), sums("d").alias("sum_d")
+        )
+        return clusters.join(members, "version")
 
     return counted(index, "built").unionByName(counted(back, "loaded"))
 

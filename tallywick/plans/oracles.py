@@ -16,6 +16,11 @@ def _sum(form: str) -> str:
     return " + ".join(form.format(i=i) for i in _DIMS)
 
 
+def _weighed(prefix: str) -> str:
+    """A sum that tells dimensions and clusters apart."""
+    return f"CAST(sum(({' + '.join(f'{prefix}{i}::BIGINT * {i + 1}' for i in _DIMS)}) * (cluster_id + 1)) AS BIGINT) AS sum_{prefix}"
+
+
 def _fixed(x: str) -> str:
     return f"CASE WHEN {x} <= -1 THEN -10000 ELSE CAST(TRUNC(LEAST(GREATEST({x}, 0::FLOAT), 1::FLOAT) * 10000::FLOAT + 0.5::FLOAT) AS INT) END"
 
@@ -165,6 +170,10 @@ ORACLES: dict[str, str] = {
     "ivf_default_vote": _policy(8, 8, 24, 128, _BOXED),
     "payload_scores": _answers(1, " UNION ALL SELECT * FROM (VALUES (-1, FALSE, 0), (-2, FALSE, 0), (-3, FALSE, 0)) b"),
     "stream_scores": _answers(2),
-    "index_roundtrip": f"{_clusters(_EMB, 4)} SELECT version, count(*) AS clusters, CAST(sum(n_rows) AS BIGINT) AS n_rows, CAST(sum(c0) AS BIGINT) AS sum_c0 FROM stats, (VALUES ('built'), ('loaded')) t(version) GROUP BY version",
+    "index_roundtrip": f"""{_clusters(_EMB, 4)},
+      boxes AS (SELECT node AS cluster_id, {_list('min(d{i}) AS lo{i}')}, {_list('max(d{i}) AS hi{i}')} FROM level4 GROUP BY node),
+      c AS (SELECT count(*) AS clusters, CAST(sum(n_rows) AS BIGINT) AS n_rows, {_weighed('c')}, {_weighed('lo')}, {_weighed('hi')} FROM stats JOIN boxes USING (cluster_id)),
+      m AS (SELECT count(*) AS members, CAST(sum(label) AS BIGINT) AS labels, CAST(sum(event_id * (cluster_id + 1)) AS BIGINT) AS sum_id, {_weighed('d')} FROM (SELECT *, node AS cluster_id FROM level4))
+      SELECT version, c.*, m.*, 3 AS probes, 5 AS ambiguous_probes, 9 AS most_probes, TRUE AS repair FROM c, m, (VALUES ('built'), ('loaded')) t(version)""",
     "decision_table": "SELECT CAST(range AS INT) AS fraud_count, range / 5.0::DOUBLE AS fraud_score, range < 3 AS approved FROM range(6)",
 }
