@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 from .common import fresh, map_columns, map_texts, no_null_text, staged
 
 WINDOW = 10
-#: Bytes of benchmark text in one automaton, some 300 MB in each Python worker; a larger benchmark is scanned in blocks.
-MAX_BLOCK_BYTES = 4 << 20
+#: Bytes of benchmark text in one automaton, some 220 MB in each Python worker; a larger benchmark is scanned in blocks.
+MAX_BLOCK_BYTES = 1 << 20
+
+#: Base of the digits of a word's number.
+BASE = 64
 
 _BLANK = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
@@ -33,14 +36,12 @@ def normal_words(text: bytes) -> list[bytes]:
 Item = tuple[str | None, bytes]
 
 
-def windows(items: Iterable[Item], size: int = WINDOW) -> dict[tuple[bytes, ...], set[int]]:
-    """Window -> numbers of the items that have it."""
-    found: dict[tuple[bytes, ...], set[int]] = {}
+def windows(items: Iterable[Item], size: int = WINDOW) -> Iterator[tuple[int, list[bytes]]]:
+    """The number of the item and the words of each window, one after the other."""
     for number, (_, text) in enumerate(items):
         words = normal_words(text)
         for start in range(max(1, len(words) - size + 1) if words else 0):
-            found.setdefault(tuple(words[start : start + size]), set()).add(number)
-    return found
+            yield number, words[start : start + size]
 
 
 _built: dict[str, tuple] = {}
@@ -49,19 +50,25 @@ _built: dict[str, tuple] = {}
 def scanner(items: list[Item], key: str, size: int = WINDOW) -> Callable[[bytes], tuple[int, list[tuple[int, int]], list[str]]]:
     """A function from text to (words, merged runs [first, past last) of hit words, item ids that occur).
 
-    The automaton is built once for each Python worker and benchmark (``key``); its letters are the numbers
-    of the benchmark's words, and 0 for any other word. Items without an id hit, but are not named.
+    The automaton is built once for each Python worker and benchmark (``key``); to it each word of the
+    benchmark is its number in two or three digits, and any other word zeros. Items without an id hit, but
+    are not named.
     """
     import ahocorasick
 
     if key not in _built:
         _built.clear()
-        automaton, numbers = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE), {}
-        for window, own in windows(items, size).items():
-            automaton.add_word(tuple(numbers.setdefault(w, len(numbers) + 1) for w in window), (len(window), tuple(sorted(own))))
+        automaton = ahocorasick.Automaton()
+        codes, length = numbered(sorted({w for _, text in items for w in normal_words(text)}))
+        for number, window in windows(items, size):
+            path = "".join(map(codes.__getitem__, window))
+            n, own = automaton.get(path, (len(window), ()))
+            if number not in own:
+                automaton.add_word(path, (n, (*own, number)))
         automaton.make_automaton()
-        _built[key] = automaton, numbers
-    automaton, numbers = _built[key]
+        _built[key] = automaton, codes, length
+    automaton, codes, length = _built[key]
+    get, other = codes.get, "\0" * length
     ids = [i for i, _ in items]
 
     def scan(text: bytes) -> tuple[int, list[tuple[int, int]], list[str]]:
@@ -69,17 +76,30 @@ def scanner(items: list[Item], key: str, size: int = WINDOW) -> Callable[[bytes]
         runs: list[tuple[int, int]] = []
         hits: set[int] = set()
         if words and len(automaton):
-            for end, (n, own) in automaton.iter(tuple(numbers.get(w, 0) for w in words)):  # in the order of their ends
-                first = end + 1 - n
+            for at, (n, own) in automaton.iter("".join([get(w, other) for w in words])):  # in the order of their ends
+                end = (at + 1) // length
+                first = end - n
                 while runs and runs[-1][1] >= first:
                     first = min(first, runs.pop()[0])
-                runs.append((first, end + 1))
+                runs.append((first, end))
                 hits.update(own)
         return len(words), runs, sorted({ids[i] for i in hits} - {None})
 
     return scan
 
 
+def numbered(words: list[bytes]) -> tuple[dict[bytes, str], int]:
+    """Each word as its number from 1 in digits of base BASE, of which all words have the same number, and that number.
+
+    The automaton looks a letter up among a state's next ones in turn, so the base is small; every place has
+    digits of its own, so that no match begins inside a word.
+    """
+    length = 2
+    while BASE**length <= len(words):
+        length += 1
+    return {w: "".join(chr(1 + p * BASE + n // BASE**p % BASE) for p in range(length)) for n, w in enumerate(words, 1)}, length
+
+
 def byte_spans(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The runs of words as byte offsets of the original text."""
     import re
