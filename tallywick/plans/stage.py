@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -11,8 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 #: Used only by a session on this machine alone that names no spark.checkpoint.dir, as in tests.
 DEFAULT_DIR = "/tmp/checkpoints"
 
-#: Paths written since the innermost ``stage_scope`` began, for each open scope.
-_scopes: list[list[str]] = []
+#: Paths written since the innermost ``stage_scope`` of this thread began, for each open scope: batches of a stream run beside others.
+_open = threading.local()
+
+
+def _scopes() -> list[list[str]]:
+    if not hasattr(_open, "scopes"):
+        _open.scopes = []
+    return _open.scopes
 
 
 def stage_dir(spark: SparkSession) -> str:
@@ -27,8 +34,8 @@ def stage_dir(spark: SparkSession) -> str:
 def stage_path(spark: SparkSession, label: str) -> str:
     """A new path under the shared folder, which the innermost ``stage_scope`` removes at its end."""
     path = f"{stage_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    if _scopes():
+        _scopes()[-1].append(path)
     return path
 
 
@@ -57,8 +64,8 @@ def removed(spark: SparkSession, *paths: str) -> None:
 @contextmanager
 def stage_scope(spark: SparkSession) -> Iterator[None]:
     """Removes the tables that are staged inside when it ends; results must be written before that."""
-    _scopes.append([])
+    _scopes().append([])
     try:
         yield
     finally:
-        removed(spark, *_scopes.pop())
+        removed(spark, *_scopes().pop())
