@@ -144,8 +144,9 @@ def repeated_sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     spans = staged(one.select(F.col("x.spans").alias("span"), F.col("x.checks").alias("check"), did, hash_, F.col("x.ats").alias("at"), F.col("x.ns").alias("n")), "spans")
     own = spans.filter("n = 0").select(did, hash_, F.col("at").alias("place"))
     spans = spans.filter("n > 0")
-    # Counts first: most spans occur once and need no more than their hash moved.
-    often = spans.groupBy("span").agg(F.count("*").alias("times")).filter("times > 1").select("span")
+    # Counts first: most spans occur once and need no more than their hash moved. They are written, so that the join can split the
+    # rows of a very common span among tasks, which it can't where it shares its exchange with the counting.
+    often = staged(spans.groupBy("span").agg(F.count("*").alias("times")).filter("times > 1").select("span"), "spans-often")
     again = staged(spans.join(often, "span", "left_semi"), "spans-repeated")
     first = again.groupBy("span", "check").agg(F.min(F.struct(did, hash_, "at")).alias("first"))
     # In the first document itself, passages that repeat apart from the first place are in ``own`` already.
