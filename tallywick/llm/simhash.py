@@ -245,7 +245,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # Fingerprints with links only: the others are their own component.
     firsts = member.join(fps, member["node"] == fps["fp"]).groupBy("root").agg(F.min("first").alias("least"))
     linked = member.join(firsts, "root").select(F.col("node").alias("fp"), "least")
-    whole = fps.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    # Written, so that the join can split the rows of a very common fingerprint among tasks.
+    whole = staged(fps.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "simhash-components")
     return rows.join(whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
