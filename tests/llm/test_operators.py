@@ -207,6 +207,17 @@ def test_decontamination(spark, docs):
     assert decontaminate.drop_contaminated(rows, none).count() == rows.count()
 
 
+def test_the_automaton_is_built_once():
+    items = [("a", b"one two three"), (None, b"four")]
+    first = decontaminate.scanner(items, "a benchmark")
+    built = decontaminate._built["a benchmark"]
+    assert first(b"so one two three, four") == (5, [(1, 5)], ["a"]) == decontaminate.scanner(items, "a benchmark")(b"so one two three, four")
+    assert decontaminate._built["a benchmark"] is built
+    many = [b"w%d" % i for i in range(5000)]
+    codes, length = decontaminate.numbered(many)
+    assert length == 3 and len(set(codes.values())) == 5000 and {len(c) for c in codes.values()} == {3}
+
+
 def test_sharding(spark, docs):
     got = collected(sharding.shard_documents(docs))
     assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in got) == sorted((str(r["doc_id"]), len((r["text"] or "").encode()) + 1, brute.crc(r["text"])) for r in collected(docs))
@@ -573,6 +584,11 @@ def test_pii_is_replaced_alike_everywhere(spark):
     assert by[None]["text"] == f"again {part['email'][0]} {part['ip'][0]}"
 
 
+def test_pii_takes_plain_digits_for_a_card_by_their_check_digit():
+    kinds = [[k for _, _, k, _ in pii.mentions(f"no {x} here")] for x in ("4111111111111111", "4111111111111112", "4111 1111 1111 1112")]
+    assert kinds == [["card"], [], ["card"]]
+
+
 @pytest.mark.parametrize("text", ['config api_key = "qwertyuiopasdf"', "access-key: abcdefghijk", "APIKEY=abcdefghijkl"])
 def test_pii_finds_keys_without_other_signs(text):
     assert [kind for _, _, kind, _ in pii.mentions(text)] == [kind for _, _, kind, _ in pii.mentions(f"{text} 7")] == ["secret"]
