@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Used only by a session on this machine alone that names no spark.checkpoint.dir, as in tests.
 DEFAULT_DIR = "/tmp/checkpoints"
 
+#: Tasks for each core of the cluster that write a small table.
+FILES_A_CORE = 4
+
 #: Paths written since the innermost ``stage_scope`` of this thread began, for each open scope: batches of a stream run beside others.
 _open = threading.local()
 
@@ -39,14 +42,16 @@ def stage_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def staged(df: DataFrame, label: str, instead_of: DataFrame | None = None) -> DataFrame:
+def staged(df: DataFrame, label: str, instead_of: DataFrame | None = None, few: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; what fails later starts from these files.
 
     ``instead_of`` is a staged table that only ``df`` was still made from: it is removed once ``df`` is written.
+    ``few``: ``df`` is much smaller than what it is made from (counts, links), so it is written by FILES_A_CORE
+    tasks a core at most, rather than as a file for each shuffle partition.
     """
     spark = df.sparkSession
     path = stage_path(spark, label)
-    df.write.parquet(path)
+    (df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism) if few else df).write.parquet(path)
     if instead_of is not None:
         removed(spark, *{f.rsplit("/", 1)[0] for f in instead_of.inputFiles()})
     return spark.read.schema(df.schema).parquet(path)
