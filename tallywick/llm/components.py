@@ -37,6 +37,7 @@ def connected(links: DataFrame) -> DataFrame:
     edges = staged(
         links.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
         "components",
+        few=True,
     )
     last = None
     while True:
@@ -44,7 +45,7 @@ def connected(links: DataFrame) -> DataFrame:
         if state == last or not state[0]:
             break
         last = state
-        edges = staged(_small_star(_large_star(edges)), "components")
+        edges = staged(_small_star(_large_star(edges)), "components", instead_of=edges, few=True)
     # Stars: every a has one b, its root.
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

@@ -366,18 +366,18 @@ def without_collisions(table: DataFrame, key: bytes, rounds: int = 64) -> DataFr
     for the losers, at length in longer forms, so that short formats do not run out. An error says if some
     still clash after ``rounds``.
     """
-    table = staged(table, "pii-entities")
+    table = staged(table, "pii-entities", few=True)
     real = table.select("kind", F.col("canon").alias("surrogate")).withColumn("is_real", F.lit(True))
     first = table
     for _ in range(rounds):
         kept = table.groupBy("kind", "surrogate").agg(F.min("canon").alias("winner"))
         clash = table.join(kept, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
-        lost = staged(clash.filter((F.col("canon") != F.col("winner")) | F.col("is_real")).select("kind", "canon"), "pii-redrawn")
+        lost = staged(clash.filter((F.col("canon") != F.col("winner")) | F.col("is_real")).select("kind", "canon"), "pii-redrawn", few=True)
         if lost.isEmpty():
             return table
         again = table.join(lost, ["kind", "canon"], "left_semi").withColumn("attempt", F.col("attempt") + 1).drop("surrogate")
         left = table.join(lost, ["kind", "canon"], "left_anti").unionByName(_drawn(again, key))
-        table = staged(left, "pii-entities", instead_of=table if table is not first else None)
+        table = staged(left, "pii-entities", instead_of=table if table is not first else None, few=True)
     raise ValueError("surrogates of some format cannot be made distinct")
 
 

@@ -155,7 +155,7 @@ def judged(rows: DataFrame, labels: DataFrame, names: dict[str, str], stratum: s
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     slim = rows.select(F.col(doc_id).alias("doc_id"), own.alias("stratum"), base_failed(m["n_words"], m["n_repeat_words"]).alias("failed"), *[v.alias(k) for k, v in signals(m).items()])
     holdout = slim.filter(~F.col("failed")).join(known, "doc_id").withColumn("good", F.col("quality") > 0)
-    cutoffs = staged(certified_cutoffs(holdout.select("stratum", "good", *RULES), **limits), "quality-cutoffs")
+    cutoffs = staged(certified_cutoffs(holdout.select("stratum", "good", *RULES), **limits), "quality-cutoffs", few=True)
     wide = cutoffs.groupBy(F.col("stratum").alias(layer)).agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"{layer}_{r}") for r in RULES])
     if cutoffs.count() <= MAX_BROADCAST_STRATA * len(RULES):
         wide = F.broadcast(wide)

@@ -181,7 +181,7 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, max_tree: int = MAX_
     keyed = _keyed(fps, F.lit(0), masks[0])
     links = []
     for level in range(levels):
-        sizes = staged(keyed.groupBy("m", "v").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-shards")
+        sizes = staged(keyed.groupBy("m", "v").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-shards", few=True)
         small, hot = sizes.filter(F.col("n") <= max_tree).drop("n"), sizes.filter(F.col("n") > max_tree)
         groups = keyed.join(small, ["m", "v"]).groupBy("m", "v").agg(F.collect_list("fp").alias("values"))
         links.append(_links(groups, radius))
@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     rows = staged(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))), "simhash-fingerprints")
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    links = staged(fingerprint_links(fps.select("fp"), radius, max_tree), "simhash-links")
+    links = staged(fingerprint_links(fps.select("fp"), radius, max_tree), "simhash-links", few=True)
     member = connected(links)
     # Fingerprints with links only: the others are their own component.
     firsts = member.join(fps, member["node"] == fps["fp"]).groupBy("root").agg(F.min("first").alias("least"))
@@ -294,7 +294,7 @@ def candidate_groups(rows: DataFrame, radius: int, max_tree: int = MAX_TREE) ->
     for level in range(LEVELS):
         own = F.posexplode(F.slice("least", 1 + level * KEYS, KEYS)).alias("k", "v")
         keyed = keyed.select("node", "fp", "least", "shard", own).withColumn("shard", F.xxhash64("shard", "k", "v")).drop("k", "v")
-        sizes = staged(keyed.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1"), "near-shards")
+        sizes = staged(keyed.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1"), "near-shards", few=True)
         hot = sizes.filter(F.col("n") > max_tree)
         shards = keyed.join(sizes.filter(F.col("n") <= max_tree).drop("n"), "shard").groupBy("shard").agg(F.collect_list(F.struct("fp", "node")).alias("items"))
         found.append(_groups(shards, radius))
@@ -418,10 +418,10 @@ def keep_representatives(
     read = map_texts(rows, text, keys, "fp long, least array<long>, node binary", lambda: near_reader(shingle))
     first = F.min(F.struct(*keys)).alias("first")
     classes = staged(staged(read, "near-features").groupBy("node").agg(first, F.min("fp").alias("fp"), F.min("least").alias("least")), "near-classes")
-    groups = staged(candidate_groups(classes.select("node", "fp", "least"), radius, max_tree), "near-groups")
+    groups = staged(candidate_groups(classes.select("node", "fp", "least"), radius, max_tree), "near-groups", few=True)
     wanted = groups.select("node").distinct().join(classes.select("node", "first.*"), "node")
     texts = rows.select(*keys, F.col(text).alias("text")).join(wanted, keys).dropDuplicates(["node"]).select("node", "text")
-    links = staged(similar_links(groups.join(texts, "node"), radius, shingle, similarity), "near-links")
+    links = staged(similar_links(groups.join(texts, "node"), radius, shingle, similarity), "near-links", few=True)
     member = connected(links).select("node", "root")
     chosen = classes.join(member, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select("first.*")
     return rows.join(chosen, keys, "left_semi").dropDuplicates(keys).select(docs.columns)

@@ -146,9 +146,9 @@ def repeated_sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     spans = spans.filter("n > 0")
     # Counts first: most spans occur once and need no more than their hash moved. They are written, so that the join can split the
     # rows of a very common span among tasks, which it can't where it shares its exchange with the counting.
-    often = staged(spans.groupBy("span").agg(F.count("*").alias("times")).filter("times > 1").select("span"), "spans-often")
+    often = staged(spans.groupBy("span").agg(F.count("*").alias("times")).filter("times > 1").select("span"), "spans-often", few=True)
     again = staged(spans.join(often, "span", "left_semi"), "spans-repeated")
-    first = again.groupBy("span", "check").agg(F.min(F.struct(did, hash_, "at")).alias("first"))
+    first = staged(again.groupBy("span", "check").agg(F.min(F.struct(did, hash_, "at")).alias("first")), "spans-first", few=True)
     # In the first document itself, passages that repeat apart from the first place are in ``own`` already.
     elsewhere = (F.col(did) != F.col(f"first.{did}")) | (F.col(hash_) != F.col(f"first.{hash_}"))
     later = again.join(first, ["span", "check"]).filter(elsewhere | ((F.col("at") >= 0) & (F.col("at") != F.col("first.at"))))
