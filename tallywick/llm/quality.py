@@ -26,7 +26,7 @@ RUN = 8
 RISK = 0.04
 DELTA = 0.05
 #: Bad documents that one rejected good document must be worth. On 0.5 GB with 92,151 labelled documents beyond the base rules (85,070
-#: good), cutoffs at 50 lose 1 good document and the symbols rule alone catches 6,940 of 7,081 bad ones; at 10 they lose 174
+#: good), cutoffs at 50 lose 1 good document and the symbols rule alone catches 6,940 of 7,081 bad ones; at 10 they lose 173
 #: for at most 141 bad ones more, at 1 they lose 511.
 COST = 50
 #: Strata up to which their cutoffs are broadcast; above, they are joined by shuffle.
