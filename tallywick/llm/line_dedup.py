@@ -8,7 +8,9 @@ patience diff, and blocks of aligned lines with enough words are deleted from th
 
 Patience drops a line that crosses another one or is repeated, so a line may stay beside the holders it was
 aligned with although another earlier one aligns with it. Lines left over whose keys are not rare are
-aligned again, in rounds, with the next PARTNERS holders.
+aligned again, in rounds, with the next PARTNERS holders; what is left then is aligned with all the rest. There
+holders that look the same from the documents left, line by line, are one: the first of them stands for them.
+So a line stays only if no earlier document aligns with it.
 
 Blank lines are left out of the alignment. Documents of the same lines are one: the first of them is
 aligned for all. Of a pair only the lines that both have are brought together, found from the shorter
@@ -29,9 +31,11 @@ from .common import keyed, map_columns, map_texts, staged, with_new_text
 MIN_WORDS = 5
 #: Documents up to which all holders of a key are paired with each other.
 RARE = 8
-#: Further holders that a line left over is aligned with in a round, and rounds.
+#: Further holders that a line left over is aligned with in a round, and rounds before it is aligned with all the rest.
 PARTNERS = 8
 ROUNDS = 2
+#: Pairs with the rest that are aligned at a time, or PARTNERS for each document if that is more.
+PAIRS_AT_ONCE = 1 << 20
 #: Holders of a frequent key among which each is paired with the one before it.
 CELL = 1024
 
@@ -201,6 +205,16 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         places = staged(places, "line-places")
         again = staged(_further_pairs(once, shared, places, did, hash_, n * PARTNERS + 2), "line-pairs", few=True)
         places = places.union(aligned(again))
+    places = staged(places, "line-places")
+    rest = _rest(once, shared, lines, places, did, hash_, rounds * PARTNERS + 2)
+    n_pairs = 0 if rest is None else rest.count()
+    parts = -(-n_pairs // max(PAIRS_AT_ONCE, PARTNERS * once.count())) if n_pairs else 0
+    for part in range(parts):
+        again = rest.filter(F.pmod(F.xxhash64("e_did", "e_hash"), F.lit(parts)) == part)
+        if part:
+            places = staged(places, "line-places")
+            again = again.join(_left_over(once, places, did, hash_), ["key", did, hash_], "left_semi")
+        places = places.union(aligned(staged(again.drop("key").distinct(), "line-pairs", few=True)))
     # A set of places at a time: a document never gathers more than its own lines, however many partners it has.
     return places.union(copies).groupBy(did, hash_).agg(F.collect_set("place").alias("places"))
 
@@ -248,11 +262,16 @@ def _aligned(pairs: DataFrame, sizes: DataFrame, lines: DataFrame, did: str, has
     return gone.select(did, hash_, F.explode("places").alias("place"))
 
 
-def _further_pairs(once: DataFrame, shared: DataFrame, places: DataFrame, did: str, hash_: str, first: int) -> DataFrame:
-    """Pairs of documents with lines left over and the earlier holders of their frequent keys, from number ``first`` on, PARTNERS of them."""
+def _left_over(once: DataFrame, places: DataFrame, did: str, hash_: str) -> DataFrame:
+    """(did, hash, key) of the keys with lines that are not deleted."""
     gone = places.groupBy(did, hash_).agg(F.collect_set("place").alias("gone"))
     left = F.filter("keys", lambda x: F.size(F.array_except(F.sequence(x["at"], x["at"] + x["n"] - 1), F.coalesce("gone", F.array().cast("array<int>")))) > 0)
-    over = once.join(gone, [did, hash_], "left").select(did, hash_, F.explode(F.transform(left, lambda x: x["key"])).alias("key")).distinct()
+    return once.join(gone, [did, hash_], "left").select(did, hash_, F.explode(F.transform(left, lambda x: x["key"])).alias("key")).distinct()
+
+
+def _further_pairs(once: DataFrame, shared: DataFrame, places: DataFrame, did: str, hash_: str, first: int) -> DataFrame:
+    """Pairs of documents with lines left over and the earlier holders of their frequent keys, from number ``first`` on, PARTNERS of them."""
+    over = _left_over(once, places, did, hash_)
     frequent = shared.filter(F.col("holders") >= F.greatest(F.lit(RARE + 1), F.lit(first))).select("key", did, hash_, "first")
     held = staged(over.join(frequent, ["key", did, hash_]).filter(F.col("first") != F.struct(did, hash_)).drop("first"), "lines-left", few=True)
     keys = held.select("key").distinct()
@@ -264,6 +283,41 @@ def _further_pairs(once: DataFrame, shared: DataFrame, places: DataFrame, did: s
     return held.join(partners, "key").filter(earlier).select("e_did", "e_hash", did, hash_).distinct()
 
 
+def _rest(once: DataFrame, shared: DataFrame, lines: DataFrame, places: DataFrame, did: str, hash_: str, first: int) -> DataFrame | None:
+    """(key, e_did, e_hash, did, hash): pairs of documents with lines left over and all earlier holders of their keys, from number ``first`` on.
+
+    A document's profile is what an alignment with one of the documents left can see of it: its lines that one
+    of them and at least one more document have, in order, and where others stand between. Holders of equal
+    profiles are aligned alike, so of each profile the first holder is taken, and none if it is before
+    number ``first``. None if nothing is left.
+    """
+    frequent = shared.filter(F.col("holders") >= F.greatest(F.lit(RARE + 1), F.lit(first + 1))).select("key", did, hash_)
+    held = staged(_left_over(once, places, did, hash_).join(frequent, ["key", did, hash_]), "lines-rest", few=True)
+    if held.isEmpty():
+        return None
+    own = F.struct(F.col(did).alias("did"), F.col(hash_).alias("hash"))
+    holders = frequent.join(held.select("key").distinct(), "key", "left_semi")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(did, hash_))
+    edges = holders.withColumn("k", rank).filter(F.col("k") <= first).filter(F.col("k") == first).select("key", own.alias("edge"))
+    held = staged(held.join(edges, "key").filter(own > F.col("edge")), "lines-rest", few=True)
+    if held.isEmpty():
+        return None
+    left = held.select(did, hash_).distinct()
+    wanted = staged(lines.join(left, [did, hash_], "left_semi").select("line").distinct(), "rest-lines", few=True)
+    found = staged(lines.select(did, hash_, "line", "at").join(wanted, "line", "left_semi"), "rest-places", few=True)
+    twice = staged(found.groupBy("line").agg(F.count("*").alias("n")).filter("n > 1").select("line"), "rest-lines", few=True)
+    items = F.sort_array(F.flatten(F.collect_list(F.transform("at", lambda x: F.struct(x.alias("at"), F.col("line"))))))
+    seen = found.join(twice, "line").groupBy(did, hash_).agg(items.alias("items")).join(once.select(did, hash_, "n"), [did, hash_])
+    # A line, and whether it follows the line before at once; at the end, whether the last one ends the document.
+    steps = F.transform("items", lambda x, i: F.concat_ws(" ", x["line"], (x["at"] == F.when(i > 0, F.get("items", i - 1)["at"]).otherwise(-1) + 1).cast("string")))
+    profile = F.sha2(F.concat_ws(",", steps, (F.element_at("items", -1)["at"] == F.col("n") - 1).cast("string")), 256).alias("profile")
+    profiles = staged(seen.select(did, hash_, profile), "rest-profiles", few=True)
+    held = held.select("key", did, hash_)
+    classes = holders.join(profiles, [did, hash_]).groupBy("key", "profile").agg(F.min(own).alias("e")).join(edges, "key").filter(F.col("e") >= F.col("edge"))
+    partners = staged(classes.select("key", F.col("e.did").alias("e_did"), F.col("e.hash").alias("e_hash")), "rest-partners", few=True)
+    return held.join(partners, "key").filter(F.struct("e_did", "e_hash") < F.struct(did, hash_)).select("key", "e_did", "e_hash", did, hash_)
+
+
 def without_lines() -> Callable[[str, list[int]], tuple[str]]:
     import re
 
@@ -294,6 +348,6 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     within pairs of documents only; blank lines stay. Null texts stay null, empty texts empty, and an empty
     table has no rows. Rows stay even if all their lines go. Texts of any length are read as a whole. With
     ``n_removed`` a column of that name counts the deleted lines. ``rounds`` says how often lines left over
-    are aligned again.
+    are aligned with a few more holders before they are aligned with all the rest; results do not depend on it.
     """
     return with_new_text(docs, text, staged(repeated_lines(docs, doc_id, text, min_words, rounds), "line-removals"), doc_id, without_lines, n_removed)

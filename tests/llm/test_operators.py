@@ -307,6 +307,35 @@ def test_line_dedup_loses_no_link(spark):
     assert sum(len(x) - len(y) for x, y in lost) <= 0.02 * removed
 
 
+HOT = "the very common line of seven words"
+
+
+def hot_lines():
+    """Only the 25th holder of the common line aligns with the last one: in the others the line comes twice."""
+    rows = [(i, f"own start of {i}\n{HOT}\nown middle of {i}\n{HOT}\nown end of {i}") for i in range(40)]
+    rows[24] = (24, f"own start of 24\n{HOT}\nown end of 24")
+    return [*rows, (50, f"own start of 50\n{HOT}\nown end of 50")]
+
+
+def test_line_dedup_aligns_lines_left_over_with_all_other_holders(spark):
+    rows = hot_lines()
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[50] == "own start of 50\nown end of 50"
+    assert got == dict(zip((d for d, _ in rows), brute.line_dedup(rows), strict=True))
+
+
+def test_line_dedup_equals_aligning_all_pairs(spark, monkeypatch):
+    rng = random.Random(17)
+    pool = [" ".join(rng.choice(WORDS) for _ in range(rng.choice([1, 2, 5, 6, 8]))) for _ in range(9)]
+    rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.7 else f"own line {i} {k}" for k in range(rng.randrange(1, 10)))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = dict(zip((d for d, _ in rows), brute.line_dedup(rows), strict=True))
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()} == expected
+    monkeypatch.setattr(line_dedup, "PAIRS_AT_ONCE", 1)
+    monkeypatch.setattr(line_dedup, "PARTNERS", 1)
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df, rounds=0).collect()} == expected
+
+
 def test_aligning_shared_lines_equals_aligning_all():
     rng = random.Random(13)
     for _ in range(300):
