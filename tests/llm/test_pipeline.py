@@ -11,6 +11,7 @@ from tallywick.llm.common import read_table
 from tallywick.llm.queries import vocabulary_path
 
 from . import brute
+from .test_operators import hot_lines
 
 
 def rows_of(df):
@@ -55,6 +56,15 @@ def test_stages_equal_their_plain_versions(spark, sf_dir):
     assert got == last
 
 
+def test_line_dedup_stage_aligns_with_all_holders_of_a_common_line(spark, sf_dir):
+    rows = hot_lines()
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    expected = dict(zip((d for d, _ in rows), brute.line_dedup(rows), strict=True))
+    found = corpus_pipeline.line_dedup(spark, docs, sf_dir)
+    assert rows_of(found) == expected and expected[50] != dict(rows)[50]
+    assert all(r["n_chars"] == len(r["text"]) for r in found.collect())
+
+
 AWKWARD = [
     (1, "one two three four five six seven eight nine ten. " * 3 + "and the rest of it is long enough to stay here", "en", "s", 3, "x"),
     (None, "a row without an id has words enough to stay in the corpus, twenty of them at least, or so it seems to me now", None, None, None, None),
